@@ -7,8 +7,6 @@ down together with the fitting rows, so no tree is ever stored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
 # The learner settings that results are specified with.
@@ -42,82 +40,76 @@ class Binning:
         return out
 
 
-@dataclass
-class _Leaf:
-    fit: np.ndarray
-    out: np.ndarray
-    sums: np.ndarray
-    counts: np.ndarray
-    total: float
-    split: tuple[float, int, int, bool]
-
-
-def _best_split(sums: np.ndarray, counts: np.ndarray, total: float, n: int) -> tuple[float, int, int, bool]:
-    """(gain, feature, last left bin, missing goes left); missing rows are tried on both sides."""
-    left_sum, left_n = np.cumsum(sums[:, :-1], axis=1), np.cumsum(counts[:, :-1], axis=1)
-    best = (0.0, -1, -1, False)
-    for missing_left in (False, True):
-        if missing_left:
-            if not counts[:, -1].any():
+class _Trees:
+    """Grows trees on one set of fitting rows and routes the rows to predict along."""
+
+    def __init__(self, fit_codes: np.ndarray, out_codes: np.ndarray, width: int) -> None:
+        n, self.n_features = fit_codes.shape
+        self.width, self.missing = width, width - 1
+        self.fit_columns = np.ascontiguousarray(fit_codes.T)
+        self.out_columns = np.ascontiguousarray(out_codes.T)
+        # one cell number per (feature, bin), so one bincount fills all histograms
+        self.cells = fit_codes + np.arange(self.n_features) * width
+        self.has_missing = bool((fit_codes == self.missing).any())
+        self.every_fit, self.every_out = np.arange(n), np.arange(len(out_codes))
+        self.shape = (self.n_features, width)
+        self.all_counts = np.bincount(self.cells.ravel(), minlength=self.n_features * width)
+
+    def _histogram(self, residual: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+        """Residual sums and row counts, stacked: (2, feature, bin). ``None`` means all rows."""
+        size = self.n_features * self.width
+        cells = (self.cells if rows is None else self.cells[rows]).ravel()
+        out = np.empty((2, size))
+        weights = np.repeat(residual if rows is None else residual[rows], self.n_features)
+        out[0] = np.bincount(cells, weights=weights, minlength=size)
+        out[1] = self.all_counts if rows is None else np.bincount(cells, minlength=size)
+        return out.reshape(2, *self.shape)
+
+    def _best_splits(self, hists: np.ndarray) -> list:
+        """Per leaf of (leaf, 2, feature, bin): (gain, feature, last left bin, missing goes left)."""
+        whole = hists[:, :, :1, :].sum(axis=3, keepdims=True)
+        parent = whole[:, 0, 0, 0] ** 2 / whole[:, 1, 0, 0]
+        left = hists[:, :, :, :-1].cumsum(axis=3)
+        sides = [left, left + hists[:, :, :, -1:]] if self.has_missing else [left]
+        best = [(0.0, -1, -1, False)] * len(hists)
+        for missing_left, ls in enumerate(sides):
+            rs = whole - ls
+            ln, rn = ls[:, 1], rs[:, 1]
+            gain = ls[:, 0] ** 2 / np.maximum(ln, 1.0) + rs[:, 0] ** 2 / np.maximum(rn, 1.0)
+            gain[(ln < MIN_LEAF_ROWS) | (rn < MIN_LEAF_ROWS)] = -1.0
+            flat = gain.reshape(len(hists), -1)
+            for i, at in enumerate(flat.argmax(axis=1)):
+                value = flat[i, at] - parent[i]
+                if flat[i, at] >= 0.0 and value > best[i][0] + 1e-12:
+                    best[i] = (value, *divmod(int(at), self.width - 1), bool(missing_left))
+        return best
+
+    def grow(self, residual: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """One tree leaf by leaf: [(fitting rows, rows to predict, mean residual)]."""
+        root = self._histogram(residual, None)
+        leaves = [(self._best_splits(root[None])[0], self.every_fit, self.every_out, root)]
+        gains = [leaves[0][0][0]]
+        while len(leaves) < LEAVES:
+            gain = max(gains)
+            if gain <= 0.0:
                 break
-            left_sum, left_n = left_sum + sums[:, -1:], left_n + counts[:, -1:]
-        right_n = n - left_n
-        allowed = (left_n >= MIN_LEAF_ROWS) & (right_n >= MIN_LEAF_ROWS)
-        if not allowed.any():
-            continue
-        gain = np.where(
-            allowed,
-            left_sum**2 / np.maximum(left_n, 1) + (total - left_sum) ** 2 / np.maximum(right_n, 1),
-            -np.inf,
-        )
-        at = int(np.argmax(gain))
-        value = float(gain.flat[at]) - total**2 / n
-        if value > best[0] + 1e-12:
-            best = (value, at // gain.shape[1], at % gain.shape[1], missing_left)
-    return best
-
-
-def _histogram(codes: np.ndarray, residual: np.ndarray, rows: np.ndarray, width: int):
-    n_features = codes.shape[1]
-    cells = (codes[rows] + np.arange(n_features) * width).ravel()
-    shape = (n_features, width)
-    sums = np.bincount(cells, weights=np.repeat(residual[rows], n_features), minlength=n_features * width)
-    counts = np.bincount(cells, minlength=n_features * width)
-    return sums.reshape(shape), counts.reshape(shape)
-
-
-def _leaf(fit, out, sums, counts, residual) -> _Leaf:
-    total = float(residual[fit].sum())
-    return _Leaf(fit, out, sums, counts, total, _best_split(sums, counts, total, len(fit)))
-
-
-def _grow(fit_codes, out_codes, residual, width) -> list[_Leaf]:
-    every = np.arange(len(fit_codes))
-    leaves = [_leaf(every, np.arange(len(out_codes)), *_histogram(fit_codes, residual, every, width), residual)]
-    while len(leaves) < LEAVES:
-        at = max(range(len(leaves)), key=lambda i: leaves[i].split[0])
-        parent = leaves[at]
-        gain, feature, last_bin, missing_left = parent.split
-        if gain <= 0.0:
-            break
-
-        def goes_left(codes, rows):
-            code = codes[rows, feature]
-            known = code <= last_bin
-            return known | (code == width - 1) if missing_left else known
-
-        fit_left, out_left = goes_left(fit_codes, parent.fit), goes_left(out_codes, parent.out)
-        sides = [(parent.fit[m], parent.out[o]) for m, o in ((fit_left, out_left), (~fit_left, ~out_left))]
-        small = 0 if len(sides[0][0]) <= len(sides[1][0]) else 1
-        sums, counts = _histogram(fit_codes, residual, sides[small][0], width)
-        children = [
-            _leaf(*side, sums, counts, residual)
-            if i == small
-            else _leaf(*side, parent.sums - sums, parent.counts - counts, residual)
-            for i, side in enumerate(sides)
-        ]
-        leaves[at : at + 1] = children
-    return leaves
+            at = gains.index(gain)
+            (_, feature, last_bin, missing_left), fit, out, hist = leaves[at]
+            fit_code, out_code = self.fit_columns[feature][fit], self.out_columns[feature][out]
+            fit_left, out_left = fit_code <= last_bin, out_code <= last_bin
+            if missing_left:
+                fit_left |= fit_code == self.missing
+                out_left |= out_code == self.missing
+            fits, outs = (fit[fit_left], fit[~fit_left]), (out[out_left], out[~out_left])
+            # Only the smaller side is counted; the other is the difference.
+            small = int(len(fits[1]) < len(fits[0]))
+            pair = np.empty((2, *hist.shape))
+            pair[small] = self._histogram(residual, fits[small])
+            np.subtract(hist, pair[small], out=pair[1 - small])
+            splits = self._best_splits(pair)
+            leaves[at : at + 1] = [(splits[i], fits[i], outs[i], pair[i]) for i in (0, 1)]
+            gains[at : at + 1] = [splits[0][0], splits[1][0]]
+        return [(fit, out, residual[fit].mean()) for _, fit, out, _ in leaves]
 
 
 def boosted_forecast(fit_codes, y, out_codes, width, rounds, y_out=None, patience=None):
@@ -125,15 +117,15 @@ def boosted_forecast(fit_codes, y, out_codes, width, rounds, y_out=None, patienc
 
     Returns (forecast, rounds used).
     """
+    trees = _Trees(fit_codes, out_codes, width)
     fitted = np.full(len(y), y.mean())
     forecast = np.full(len(out_codes), y.mean())
     best, best_loss, best_round = forecast.copy(), np.inf, 0
     for number in range(1, rounds + 1):
-        leaves = _grow(fit_codes, out_codes, y - fitted, width)
-        for leaf in leaves:
-            step = LEARNING_RATE * leaf.total / len(leaf.fit)
-            fitted[leaf.fit] += step
-            forecast[leaf.out] += step
+        leaves = trees.grow(y - fitted)
+        for fit, out, value in leaves:
+            fitted[fit] += LEARNING_RATE * value
+            forecast[out] += LEARNING_RATE * value
         if y_out is None:
             best, best_round = forecast, number
         else:

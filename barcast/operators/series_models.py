@@ -30,6 +30,7 @@ FITTED_SCHEMA = (
     "asset string, feature string, t timestamp, horizon int, pred double, probability double, y double, "
     "rounds int, n_train long"
 )
+_MAX_FIT_TASKS = 50_000
 _FITTED_COLUMNS = [part.strip().split(" ")[0] for part in FITTED_SCHEMA.split(",")]
 
 
@@ -56,8 +57,8 @@ def _fit_group(params: Params, rounds: int, validated: bool):
     lag_names, horizon = params.lag_columns, params.horizon
     use_gate, eps, patience = params.use_classifier, params.cls_eps, params.patience
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        asset, feature = key
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        asset, feature = pdf["asset"].iat[0], pdf["feature"].iat[0]
         pdf = pdf.sort_values("t", kind="stable")
         x = pdf[[*lag_names, "hour", "dow"]].to_numpy(dtype=float)
         split = pdf["split"].to_numpy()
@@ -92,20 +93,30 @@ def _fit_group(params: Params, rounds: int, validated: bool):
     return fit
 
 
-def fitted(rows: DataFrame, params: Params, rounds: int, validated: bool) -> DataFrame:
-    """Raw forecasts, non-zero probabilities and truths of every model; missing values are null."""
-    out = rows.groupBy("asset", "feature").applyInPandas(_fit_group(params, rounds, validated), FITTED_SCHEMA)
+def fitted(rows: DataFrame, active: DataFrame, params: Params, rounds: int, validated: bool) -> DataFrame:
+    """Raw forecasts, non-zero probabilities and truths of every model; missing values are null.
+
+    Fitting takes seconds to minutes per group while its rows are few, so the
+    partition count follows the number of groups, not the bytes.
+    """
+    tasks = min(max(active.count(), 1), _MAX_FIT_TASKS)
+    out = (
+        rows.repartition(tasks, "asset", "feature")
+        .groupBy("asset", "feature")
+        .applyInPandas(_fit_group(params, rounds, validated), FITTED_SCHEMA)
+    )
     return out.withColumns({c: nan_to_null(F.col(c)) for c in ("pred", "probability", "y")})
 
 
 def per_asset_eval(bars: DataFrame, params: Params) -> DataFrame:
     """(asset, feature, horizon, sMAPE, n_train, n_val): fit on train, stop early and score on val."""
     train = bars.where(F.col("t") <= params.val_cutoff())
-    active = activity_flags(train, params).where("is_active").select("asset", "feature")
+    flags = activity_flags(train, params).select("asset", "feature", "is_active")
+    active = staged(flags, "activity").where("is_active").select("asset", "feature")
     rows = model_input(validation_frame(bars, params), active, params, "next")
     final = post_processed(F.col("pred"), F.col("probability"), params)
     modelled = (
-        fitted(rows, params, params.rounds, validated=True)
+        fitted(rows, active, params, params.rounds, validated=True)
         .groupBy("asset", "feature", "horizon")
         .agg(
             smape(F.col("y"), final).alias("sMAPE"),
@@ -135,7 +146,7 @@ def refit_forecasts(bars: DataFrame, params: Params) -> DataFrame:
     active, quiet = (flags.where(c).select("asset", "feature") for c in ("is_active", "not is_active"))
     rows = model_input(frame, active, params, "y")
     final = post_processed(F.col("pred"), F.col("probability"), params)
-    modelled = fitted(rows, params, params.refit_rounds, validated=False).select(
+    modelled = fitted(rows, active, params, params.refit_rounds, validated=False).select(
         "asset",
         "feature",
         F.col("t").alias("origin"),
