@@ -5,68 +5,19 @@ Fits run on ``pyspark.ml``, so the rows of all series stay distributed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barcast.config import MIN_POOLED_TRAIN_ROWS, MIN_POOLED_VAL_ROWS, Params
 from barcast.functions.measures import denormalised, gated, is_nonzero
 from barcast.functions.scoring import smape
+from barcast.operators.boosting import boost, log_loss, squared_error
 from barcast.operators.pooled import normalised_rows, pooled_supervised
 from barcast.operators.stats import train_stats
 
-# The learner settings that results are specified with, in terms
-# of depth-limited trees (2^5 leaves).
-_TREE = dict(maxDepth=5, maxBins=255, stepSize=0.05, minInstancesPerNode=20, seed=42)
-_FIRST_ROUNDS = 25
-
-
-@dataclass(frozen=True)
-class Stopped:
-    """A fitted ensemble cut at its best validation round."""
-
-    model: object
-    rounds: int
-    losses: list[float]
-
-
-def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """(best round from 1, whether patience ran out)."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_with_patience(estimator, train: DataFrame, val: DataFrame, rounds: int, patience: int, loss) -> Stopped:
-    """Early stopping with patience.
-
-    Boosting is a deterministic prefix here (no row or feature sampling), so the
-    ensemble is grown in doubling steps until patience runs out, then refitted
-    at the best round: work stays proportional to the rounds really needed.
-    """
-    size = min(_FIRST_ROUNDS, rounds)
-    while True:
-        model = estimator.copy({estimator.maxIter: size}).fit(train)
-        losses = loss(model, val)
-        best, exhausted = best_round(losses, patience)
-        if exhausted or size >= rounds:
-            break
-        size = min(2 * size, rounds)
-    if best < size:
-        model = estimator.copy({estimator.maxIter: best}).fit(train)
-    return Stopped(model, best, losses)
-
-
 def _assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="x").transform(rows)
 
@@ -84,45 +35,35 @@ def score_one(frame: DataFrame, stats: DataFrame, params: Params, feature: str,
     )
     mean, std = F.col("mean"), F.col("std")
     rows = rows.withColumn("nonzero", is_nonzero(denormalised(F.col("y_norm"), mean, std)).cast("double"))
-    rows = _assembled(rows, inputs).select("split", "x", "y", "y_norm", "weight", "nonzero", "mean", "std").cache()
-    try:
-        sizes = {r["split"]: r for r in rows.groupBy("split").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("nonzero").alias("n_nonzero")
-        ).collect()}
-        if (
-            sizes.get("train", {"n": 0})["n"] < MIN_POOLED_TRAIN_ROWS
-            or sizes.get("val", {"n": 0})["n"] < MIN_POOLED_VAL_ROWS
-        ):
-            return None
-        train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
-
-        regressor = GBTRegressor(featuresCol="x", labelCol="y_norm", weightCol="weight", **_TREE)
-        fitted = fit_with_patience(
-            regressor, train, val, params.pooled_rounds, params.patience,
-            lambda m, v: m.evaluateEachIteration(v, "squared"),
-        )
-        scored = fitted.model.setPredictionCol("pred_norm").transform(val)
-
-        n, n_nonzero = sizes["train"]["n"], sizes["train"]["n_nonzero"]
-        if 0 < n_nonzero < n:
-            classifier = GBTClassifier(featuresCol="x", labelCol="nonzero", **_TREE)
-            gate = fit_with_patience(
-                classifier, train, val, params.pooled_gate_rounds, params.patience,
-                lambda m, v: m.evaluateEachIteration(v),
-            )
-            model = gate.model.setPredictionCol("_class").setRawPredictionCol("_raw").setProbabilityCol("_proba")
-            scored = model.transform(scored).withColumn("p", vector_to_array("_proba")[1])
-            gate_rounds = gate.rounds
-        else:
-            scored, gate_rounds = scored.withColumn("p", F.lit(float(n_nonzero > 0))), 0
-        pred = denormalised(F.col("pred_norm"), mean, std)
-        row = scored.agg(
-            smape(F.col("y"), pred).alias("sMAPE"), smape(F.col("y"), gated(pred, F.col("p"))).alias("sMAPE_gated")
-        ).first()
-    finally:
-        rows.unpersist()
+    rows = _assembled(rows, inputs).select("split", "x", "y", "y_norm", "weight", "nonzero", "mean", "std")
+    in_train, in_val = F.col("split") == "train", F.col("split") == "val"
+    sizes = rows.agg(
+        F.count_if(in_train).alias("n_train"),
+        F.count_if(in_val).alias("n_val"),
+        F.sum(F.when(in_train, F.col("nonzero"))).alias("n_nonzero"),
+    ).first()
+    if sizes["n_train"] < MIN_POOLED_TRAIN_ROWS or sizes["n_val"] < MIN_POOLED_VAL_ROWS:
+        return None
+
+    regression = boost(rows, squared_error("y_norm", "weight"), params.pooled_rounds, params.patience)
+    scored = regression.rows.withColumnRenamed("score", "pred_norm")
+    if 0 < sizes["n_nonzero"] < sizes["n_train"]:
+        # The gate boosts on top of the regression's rows, so no join is needed to combine them.
+        gate = boost(scored, log_loss("nonzero"), params.pooled_gate_rounds, params.patience)
+        scored = gate.rows.withColumn("p", 1.0 / (1.0 + F.exp(-F.col("score"))))
+    else:
+        gate, scored = None, scored.withColumn("p", F.lit(float(sizes["n_nonzero"] > 0)))
+    pred = denormalised(F.col("pred_norm"), mean, std)
+    row = (
+        scored.where(in_val)
+        .agg(smape(F.col("y"), pred).alias("sMAPE"), smape(F.col("y"), gated(pred, F.col("p"))).alias("sMAPE_gated"))
+        .first()
+    )
+    gate_rounds = gate.rounds if gate else 0
+    for done in filter(None, (regression, gate)):
+        done.release()
     return frame.sparkSession.createDataFrame(
-        [(feature, h, row["sMAPE"], row["sMAPE_gated"], fitted.rounds, gate_rounds)],
+        [(feature, h, row["sMAPE"], row["sMAPE_gated"], regression.rounds, gate_rounds)],
         "feature string, horizon int, sMAPE double, sMAPE_gated double, rounds int, gate_rounds int",
     )
 
