@@ -43,7 +43,7 @@ def inactive_eval(bars: DataFrame, params: Params) -> DataFrame:
             "sMAPE": smape(F.when(in_val & y.isNotNull(), y), F.lit(0.0), only_known=True),
         }
 
-    scored = per_feature_horizon(frame, ["asset"], params, measures)
+    scored = per_feature_horizon(frame, ["asset"], params, measures, keep=("split",))
     return (
         scored.where(model_gate())
         .join(quiet, ["asset", "feature"], "left_semi")
