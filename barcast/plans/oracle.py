@@ -257,7 +257,7 @@ last AS (SELECT asset, max(s) AS last_s FROM bars WHERE s <= {CUT} GROUP BY 1)
 SELECT asset, s AS origin_s, last_s AS last_train_s, "close" FROM bars JOIN last USING (asset)
 WHERE s >= last_s - 604800 AND s + 9000 <= last_s""",
         "eligible_assets": f"""WITH {RAW},
-slots AS (SELECT DISTINCT "ID" AS asset, "ExecutionTime" AS t FROM raw WHERE high > 60),
+slots AS (SELECT DISTINCT "ID" AS asset, "ExecutionTime" AS t FROM raw WHERE high > 20),
 sizes AS (
   SELECT asset, count(*) FILTER (WHERE epoch_us(t) <= {VAL_CUT}000000) AS n_train,
          count(*) FILTER (WHERE epoch_us(t) > {VAL_CUT}000000 AND epoch_us(t) <= {CUT}000000) AS n_val,

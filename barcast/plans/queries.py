@@ -228,7 +228,7 @@ def eval_origins(spark, sf_dir):
 def _uneven(spark, sf_dir):
     """Unfilled bars: series lengths differ, so the row gates have something to do."""
     raw = raw_ohlcv(spark, sf_dir)
-    return clean.dedupe_last(raw.where(F.col("high") > 60))
+    return clean.dedupe_last(raw.where(F.col("high") > 20))
 
 
 @query

@@ -26,6 +26,8 @@ RAW_SCHEMA = T.StructType(
 # ``seq`` packs (file number, row in file) into one long, so that "latest in
 # ingest order" is a fixed-width aggregate.
 _ROW_BITS = 40
+# Total length of file paths that may be broadcast (about a million files).
+_MAX_BROADCAST_PATHS = 128 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -40,12 +42,14 @@ def _plain_path(c):
 
 
 def _ordered_files(spark: SparkSession, df: DataFrame, first: int) -> tuple[DataFrame, int]:
-    """File → ordinal, as a table the optimizer may broadcast if it is small enough."""
+    """File → ordinal. Broadcast when the paths fit a fixed bound, otherwise joined as the optimizer sees fit."""
     files = sorted(df.inputFiles())
     table = spark.createDataFrame(
         [(name, first + i) for i, name in enumerate(files)], "file_name string, file_ord long"
     )
-    return table.select(_plain_path(F.col("file_name")).alias("_file"), "file_ord"), len(files)
+    table = table.select(_plain_path(F.col("file_name")).alias("_file"), "file_ord")
+    small = sum(map(len, files)) <= _MAX_BROADCAST_PATHS
+    return (F.broadcast(table) if small else table), len(files)
 
 
 def normalise_records(df: DataFrame) -> DataFrame:

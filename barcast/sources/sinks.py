@@ -16,14 +16,13 @@ def write_results(results: DataFrame, path: str) -> None:
 def write_raw_by_id(raw: DataFrame, path: str) -> None:
     """Append raw rows in one directory per ID.
 
-    The exchange is on (ID, day): a source with a large share of all rows is
-    spread over as many tasks as it has days.
+    The rebalancing exchange gathers an ID's rows, but splits any partition
+    that turns out large, so a hot ID is written by many tasks.
     """
-    day = F.date_trunc("day", F.col("ExecutionTime"))
     (
         raw.where(F.col("ID").isNotNull())
         .select("ID", "ExecutionTime", *MEASURES)
-        .repartition(F.col("ID"), day)
+        .hint("rebalance", "ID")
         .write.mode("append")
         .partitionBy("ID")
         .parquet(path)

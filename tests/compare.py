@@ -31,12 +31,12 @@ def connect(sf_dir: str):
 
 def _cell(v):
     if isinstance(v, float):
-        return "NaN" if math.isnan(v) else (v + 0.0)
+        return "NaN" if math.isnan(v) else ("-0.0" if v == 0 and math.copysign(1, v) < 0 else v)
     return v
 
 
 def _sortable(row):
-    return tuple((v is not None, str(type(v)), v) if not isinstance(v, (int, float)) else (True, "n", v) for v in row)
+    return tuple((v is not None, "n" if isinstance(v, (int, float)) else str(type(v)), v) for v in row)
 
 
 def _rows(names, data):
