@@ -5,6 +5,7 @@ Fits run on ``pyspark.ml``, so the rows of all series stay distributed.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
@@ -69,23 +70,26 @@ def score_one(frame: DataFrame, stats: DataFrame, params: Params, feature: str,
 
 
 def pooled_eval(
-    bars: DataFrame, params: Params, features: tuple[str, ...] | None = None, horizons: list[int] | None = None
+    bars: DataFrame,
+    params: Params,
+    features: tuple[str, ...] | None = None,
+    horizons: list[int] | None = None,
+    parallelism: int = 1,
 ) -> DataFrame:
     """Score one shared model per feature and horizon on the validation part.
 
     ``features`` and ``horizons`` choose which models to fit; all by default.
-    The frame holds every series in any case.
+    The frame holds every series in any case. ``parallelism`` is the number of
+    models fitted at a time, for frames that do not fill the cluster.
     """
     frame = pooled_supervised(bars, params)
     train = frame.where(F.col("split") == "train")
     if train.isEmpty() or frame.where(F.col("split") == "val").isEmpty():
         raise ValueError("not enough pooled train or validation rows")
     stats = train_stats(train, params)
-    tables = [
-        score_one(frame, stats, params, f, h)
-        for f in features or params.features
-        for h in horizons or params.horizons
-    ]
+    models = [(f, h) for f in features or params.features for h in horizons or params.horizons]
+    with ThreadPoolExecutor(parallelism) as pool:
+        tables = list(pool.map(lambda fh: score_one(frame, stats, params, *fh), models))
     kept = [t for t in tables if t is not None]
     if not kept:
         raise ValueError("no feature and horizon has enough pooled rows")

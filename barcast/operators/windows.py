@@ -64,13 +64,16 @@ def _with_border_copies(bars: DataFrame, back: int, ahead: int, chunk_slots: int
     slot = F.floor(F.unix_seconds("t") / STEP_SECONDS).cast("long")
     place = F.pmod(slot, F.lit(chunk_slots))
     home = F.col(_HOME)
-    wanted_by = [home]
-    if back:
-        wanted_by.append(F.when(place >= chunk_slots - back, home + 1))
-    if ahead:
-        wanted_by.append(F.when(place < ahead, home - 1))
+    to_next, to_previous = place >= chunk_slots - back, place < ahead
+    # Plain conditionals over array literals: they compile, unlike array filters.
+    wanted_by = (
+        F.when(to_next & to_previous, F.array(home, home + 1, home - 1))
+        .when(to_next, F.array(home, home + 1))
+        .when(to_previous, F.array(home, home - 1))
+        .otherwise(F.array(home))
+    )
     tagged = bars.withColumn(_HOME, F.floor(slot / chunk_slots).cast("long"))
-    return tagged.withColumn(_CHUNK, F.explode(F.array_compact(F.array(*wanted_by))))
+    return tagged.withColumn(_CHUNK, F.explode(wanted_by))
 
 
 def lag_plan(params: Params) -> dict[str, tuple[str, int]]:

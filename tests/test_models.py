@@ -99,6 +99,13 @@ def test_pooled_models(spark, learnable):
     assert row["gate_rounds"] == 0 and row["sMAPE_gated"] == row["sMAPE"]
 
 
+def test_own_lags_and_series_boundary(spark, learnable):
+    own = P.with_(lag_source="own", boundary="asset", rounds=5, pooled_rounds=3, horizon=2)
+    assert per_asset_eval(learnable, own).count() == 3 * 2 * 2
+    out = pooled_eval(learnable, own, features=("close", "volume"), horizons=[2], parallelism=2)
+    assert {(r["feature"], r["horizon"]) for r in out.collect()} == {("close", 2), ("volume", 2)}
+
+
 def test_pooled_models_need_rows(spark):
     bars = spark.createDataFrame(series("A", "2024-01-01", [1.0] * 30), BARS)
     with pytest.raises(ValueError):
