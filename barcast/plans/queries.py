@@ -328,7 +328,7 @@ def part_codes(spark, sf_dir):
 @query
 def pooled_target(spark, sf_dir):
     """Targets of ``close`` that run on into the next series at a series end."""
-    frame = staged(pooled.pooled_frame(_bars(spark, sf_dir), P), "pooled")
+    frame = staged(pooled.pooled_frame(_stored_bars(spark, sf_dir), P), "pooled")
     rows = pooled.run_on_targets(frame, P)
     cells = rows.select("asset", "split", "t", F.posexplode("next_close").alias("k", "y")).where("y is not null")
     return cells.select("asset", "split", _sec("t", "t_s"), (F.col("k") + 1).alias("horizon"), "y")
@@ -337,7 +337,7 @@ def pooled_target(spark, sf_dir):
 @query
 def asset_target(spark, sf_dir):
     """The other boundary: targets of ``close`` stop at the series end."""
-    rows = pooled.pooled_frame(_bars(spark, sf_dir), P)
+    rows = pooled.pooled_frame(_stored_bars(spark, sf_dir), P)
     cells = rows.select("asset", "split", "t", F.posexplode("next_close").alias("k", "y")).where("y is not null")
     return cells.select("asset", "split", _sec("t", "t_s"), (F.col("k") + 1).alias("horizon"), "y")
 

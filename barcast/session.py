@@ -45,10 +45,11 @@ def shared_root(spark: SparkSession) -> str:
     own; a cluster session without one is an error, since a machine-local
     folder would be lost with its executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root, chosen = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
     if root:
+        if not chosen:
+            spark.sparkContext.setCheckpointDir(root)
         return root.rstrip("/")
-    chosen = spark.sparkContext.getCheckpointDir()
     if chosen:
         return chosen.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

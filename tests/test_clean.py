@@ -1,3 +1,7 @@
+import random
+from datetime import timedelta
+
+import pandas as pd
 import pytest
 from conftest import RAW, SF, utc
 from pyspark.sql import functions as F
@@ -112,6 +116,30 @@ def test_fixture_counts(spark):
     assert nulls == 0
 
 
+def test_cleaning_equals_brute_force_under_skew(spark):
+    """A third of the rows in one asset, a ninth on one (asset, time); compared row by row with pandas."""
+    rng = random.Random(11)
+    start = utc("2024-03-30 20:00")
+    rows = []
+    for seq in range(6000):
+        asset = "hot" if seq % 3 == 0 else f"a{rng.randrange(12)}"
+        minutes = 45 if seq % 9 == 0 else rng.randrange(96) * 15 + (7 if rng.random() < 0.1 else 0)
+        values = [None if rng.random() < 0.3 else float(rng.randrange(5)) for _ in range(4)]
+        rows.append((asset, start + timedelta(minutes=minutes), *values, seq))
+    raw = spark.createDataFrame(rows, RAW).repartition(16)
+    got = {(r["asset"], r["t"]): tuple(r[2:]) for r in regular_bars(raw).select(
+        "asset", F.date_format("t", "yyyy-MM-dd HH:mm").alias("t"), "high", "low", "close", "volume").collect()}
+
+    frame = pd.DataFrame(rows, columns=["asset", "t", "high", "low", "close", "volume", "seq"])
+    grid = pd.date_range(frame["t"].min().floor("15min"), frame["t"].max().ceil("15min"), freq="15min")
+    want = {}
+    for asset, part in frame.sort_values("seq").groupby("asset"):
+        bars = part.set_index("t")[["high", "low", "close", "volume"]].groupby(level=0).last().reindex(grid).fillna(0.0)
+        for when, values in zip(bars.index, bars.to_numpy()):
+            want[(asset, when.strftime("%Y-%m-%d %H:%M"))] = tuple(values)
+    assert got == want
+
+
 def test_one_exchange_and_hash_aggregation(spark):
     plan = regular_bars(raw_ohlcv(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "Join" not in plan
