@@ -1,11 +1,11 @@
 import pathlib
 
 import pytest
-from conftest import BARS, RAW, SF, series, utc
+from conftest import BARS, SF, series, utc
 from pyspark.sql import functions as F
 
 from barcast.config import Params
-from barcast.operators.clean import dedupe_last, regular_bars
+from barcast.operators.clean import dedupe_last
 from barcast.operators.summary import asset_summary
 from barcast.plans import workflows
 from barcast.plans.fixture import FIXTURE_PARAMS, raw_ohlcv
