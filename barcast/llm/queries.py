@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barcast.llm import bpe, decontaminate, html, quality, syncmers, toxicity
+from barcast.llm import bpe, decontaminate, html, jaccard, lines, quality, syncmers, toxicity
 from barcast.llm.common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,10 +31,20 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.deduplicated(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length(text).cast("bigint").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), jaccard.Settings(words=3, percent=90))
+
+
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +55,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": contamination,
         "op3_byte_pairs": bpe_round_trip,
         "op4_syncmers": fingerprints,
+        "op5_line_dedup": line_dedup,
         "op7_main_text": main_text,
+        "op9_jaccard_join": jaccard_join,
         "op10_quality": quality_scores,
     }
