@@ -89,9 +89,9 @@ def bands(settings: Settings, upto: int) -> tuple[tuple[int, ...], tuple[Plan, .
         high = max(low + 1, floor(low * _BAND))  # first size of the next band
         most = settings.difference(high - 1, high - 1)
         exact, deleted = most + 1 + ceil(most / 12), most // 2 + 1
-        # rows to write, and chance meetings that grow as segments shrink
-        cost_exact = exact + 1000 * exact * 2 ** -(low / exact)
-        cost_deleted = low + deleted + 1000 * low * 2 ** -max(0, low / deleted - 1)
+        # rows to write, and chance meetings, which fall to a quarter with each element of a segment
+        cost_exact = exact + 100 * exact * 4 ** -(low / exact)
+        cost_deleted = low + deleted + 100 * low * 4 ** -max(0, low / deleted - 1)
         deletions = cost_deleted < cost_exact
         bits = max(64, 1 << (high - 1).bit_length())
         plans.append(Plan(len(plans), deleted if deletions else exact, deletions, bits))
