@@ -1,13 +1,14 @@
 """Byte-level BPE: merges compiled into a lazily determinised transducer, and streaming decoding.
 
-A tokenisation is the BPE result exactly when each two neighbouring tokens,
-merged on their own, stay these two tokens. So the set of all prefixes'
-tokenisations is a nondeterministic transducer whose state is (last token,
-node in the trie of token bytes), and for each prefix just one path ends on a
-token border. Determinising it keeps the paths that are still open, with the
-tokens that they do not share yet; what all paths share is emitted. A path is
-open for at most the length of the longest token, which bounds lookahead and
-state. States and moves are made when first met and kept in a bounded table.
+A tokenisation is the BPE result exactly when no two neighbouring tokens would
+have merged across their border. So the tokenisations of all prefixes form a
+nondeterministic transducer whose paths are (token before, node in the trie of
+token bytes), and for each prefix just one path ends on a token border.
+Determinising it keeps the set of open paths; each move also tells the one
+token that ends there. Where a single path is left, all tokens up to it are
+certain and are emitted; a path is open for at most the length of the longest
+token, which bounds lookahead and state. States and moves are made when first
+met and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ import base64
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
+from struct import pack
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barcast.llm.common import map_lists, row_map
 
-MAX_STATES = 200_000  # moves are forgotten beyond this many states; results do not change
-MAX_WORDS = 200_000  # likewise for remembered words
+MAX_STATES = 50_000  # moves are forgotten beyond this many states; results do not change
+MAX_WORDS = 150_000  # likewise for remembered words, and for pieces
 MAX_WORD_CHARS = 64  # longer ones are not remembered
 DECODE_IDS = 8_192  # ids per step of the decoder
 
@@ -36,15 +38,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Plain pair merging: the lowest rank first, the leftmost of equals."""
+def merge(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[bytes]:
+    """Plain pair merging down to ``stop`` parts: the lowest rank first, the leftmost of equals."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > stop:
         best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
         if parts[best] + parts[best + 1] not in ranks:
             break
         parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
+    return parts
 
 
 class Transducer:
@@ -52,28 +54,36 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.ranks = ranks
-        self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.max_states = max_states
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
-        # Tokens that merging never makes out of their own bytes only occur as whole pieces.
-        for token, rank in ranks.items():
-            if len(token) == 1 or merge(token, ranks) == [rank]:
-                node = 0
-                for byte in token:
-                    node = self.children[node].setdefault(byte, len(self.children))
-                    if node == len(self.children):
-                        self.children.append({})
-                        self.token_at.append(-1)
-                self.token_at[node] = rank
+        # per token: its parts along the right and the left edge, and the rank at which each is merged away
+        self.right: dict[int, list[tuple[bytes, int]]] = {}
+        self.left: dict[int, list[tuple[bytes, int]]] = {}
+        for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
+            halves = merge(token, ranks, 2)
+            if len(halves) > 2:
+                continue  # merging never makes it, so it only occurs as a whole piece
+            whole = [(token, 1 << 60)]
+            first, last = ranks[halves[0]], ranks[halves[-1]]
+            self.left[rank] = whole + [(p, min(d, rank)) for p, d in self.left[first]] if len(halves) == 2 else whole
+            self.right[rank] = whole + [(p, min(d, rank)) for p, d in self.right[last]] if len(halves) == 2 else whole
+            node = 0
+            for byte in token:
+                node = self.children[node].setdefault(byte, len(self.children))
+                if node == len(self.children):
+                    self.children.append({})
+                    self.token_at.append(-1)
+            self.token_at[node] = rank
         self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._intern((-1, ((0, ()),)))
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.start = self._intern(((0, -1),))
 
     def _intern(self, state: tuple) -> int:
         found = self.ids.get(state)
@@ -82,38 +92,45 @@ class Transducer:
             self.states.append(state)
         return found
 
-    def _neighbours(self, left: int, right: int) -> bool:
-        key = left << 20 | right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 4 * self.max_states:
-                self.pairs.clear()
-            both = self.token_bytes[left] + self.token_bytes[right]
-            known = self.pairs[key] = merge(both, self.ranks) == [left, right]
-        return known
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, paths = self.states[state]
-        live = []
-        for node, pending in paths:
+    def _apart(self, left: int, right: int) -> bool:
+        """True if the two tokens do not merge across their border.
+
+        They do where parts at the border form a token of a rank below that
+        at which the left part is merged away, and not above that of the right
+        part (of equal ranks the leftmost is merged first).
+        """
+        ranks = self.ranks
+        for a, a_ends in self.right[left]:
+            for b, b_ends in self.left[right]:
+                rank = ranks.get(a + b)
+                if rank is not None and rank < a_ends and rank <= b_ends:
+                    return False
+        return True
+
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """Next state, and the token that ends here."""
+        live, ended = [], -1
+        pairs = self.pairs
+        for node, before in self.states[state]:
             below = self.children[node].get(byte)
             if below is None:
                 continue
             if self.children[below]:
-                live.append((below, pending))
+                live.append((below, before))
             token = self.token_at[below]
-            if token >= 0:
-                before = pending[-1] if pending else last
-                if before < 0 or self._neighbours(before, token):
-                    live.append((0, (*pending, token)))
-        shared = 0
-        shortest = min(len(p) for _, p in live)
-        while shared < shortest and len({p[shared] for _, p in live}) == 1:
-            shared += 1
-        out = live[0][1][:shared]
-        last = out[-1] if out else last
-        moved = (self._intern((last, tuple((n, p[shared:]) for n, p in live))), out)
-        self.moves[state << 8 | byte] = moved
+            if token >= 0 and ended < 0:
+                if before >= 0:
+                    key = before << 20 | token
+                    apart = pairs.get(key)
+                    if apart is None:
+                        if len(pairs) > 8 * self.max_states:
+                            pairs.clear()
+                        apart = pairs[key] = self._apart(before, token)
+                    if not apart:
+                        continue
+                ended = token
+        live.append((0, ended))
+        moved = self.moves[state << 8 | byte] = (self._intern(tuple(live)), ended)
         return moved
 
     def encode(self, piece: bytes) -> list[int]:
@@ -123,7 +140,9 @@ class Transducer:
             return [whole]
         if len(self.states) > self.max_states:
             self.forget()
-        state, out, moves = self.start, [], self.moves
+        out: list[int] = []
+        ends: list[int] = []  # the token that ends at each byte since the last emission
+        state, moves = self.start, self.moves
         for byte in piece:
             moved = moves.get(state << 8 | byte)
             if moved is None:
@@ -132,12 +151,21 @@ class Transducer:
                     self.forget()
                     moves, state = self.moves, self._intern(kept)
                 moved = self._move(state, byte)
-            state, emitted = moved
-            if emitted:
-                out += emitted
-        for node, pending in self.states[state][1]:
-            if node == 0:
-                out += pending
+            state, token = moved
+            ends.append(token)
+            if len(ends) >= 64 and len(self.states[state]) == 1:
+                out += self._emitted(ends)
+                ends = []
+        return out + self._emitted(ends) if out else self._emitted(ends)
+
+    def _emitted(self, ends: list[int]) -> list[int]:
+        """Tokens up to the last byte, found from there backwards."""
+        out, at, size = [], len(ends), self.size
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
         return out
 
 
@@ -149,12 +177,24 @@ class Encoder:
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.transducer = Transducer(ranks)
         self.known: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # pieces of the generation before
+
+    def _piece(self, piece: str) -> bytes:
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.transducer.encode(piece.encode())
+            packed = pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= MAX_WORD_CHARS:
+            if len(self.pieces) >= MAX_WORDS:
+                self.older, self.pieces = self.pieces, {}
+                return packed
+            self.pieces[piece] = packed
+        return packed
 
     def _pieces(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split.findall(text):
-            ids += self.transducer.encode(piece.encode())
-        return np.array(ids, dtype="<u4").tobytes()
+        known, piece = self.pieces, self._piece
+        return b"".join([known[p] if p in known else piece(p) for p in self.split.findall(text)])
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a word behind a space; None where the space may belong to other white space."""
@@ -276,10 +316,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding each text and decoding the ids again."""
-    return decode(encode(docs, path, pattern), path).select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding each text and decoding the ids again, in one pass."""
+
+    def start():
+        encoder, tokens = _encoder(path, pattern), _tokens(path)
+
+        def one(doc_id, text):
+            packed = encoder.encode(text)
+            decoded = sha256()
+            for part in decode_steps(np.frombuffer(packed, dtype="<u4"), tokens):
+                decoded.update(part.encode())
+            return doc_id, len(packed) // 4, sha256(packed).hexdigest(), decoded.hexdigest()
+
+        return one
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return row_map(docs.select("doc_id", "text"), start, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
