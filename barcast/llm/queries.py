@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barcast.llm import bpe, decontaminate, html, jaccard, lines, quality, syncmers, toxicity
+from barcast.llm import bpe, decontaminate, html, jaccard, lines, quality, subwords, substrings, syncmers, toxicity
 from barcast.llm.common import table
 
+PIECE_FILE = "piece_bpe_32k.model"
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -37,6 +38,14 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.length(text).cast("bigint").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.scored(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
+
+
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -56,7 +65,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_pairs": bpe_round_trip,
         "op4_syncmers": fingerprints,
         "op5_line_dedup": line_dedup,
+        "op6_subword_lattice": language_model,
         "op7_main_text": main_text,
+        "op8_repeated_strings": repeated_strings,
         "op9_jaccard_join": jaccard_join,
         "op10_quality": quality_scores,
     }
