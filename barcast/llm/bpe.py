@@ -315,8 +315,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_lists(encoded, work, f"{schema}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding each text and decoding the ids again, in one pass."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of encoding each text and decoding the ids again, in one pass."""
 
     def start():
         encoder, tokens = _encoder(path, pattern), _tokens(path)
@@ -326,9 +326,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             decoded = sha256()
             for part in decode_steps(np.frombuffer(packed, dtype="<u4"), tokens):
                 decoded.update(part.encode())
-            return doc_id, len(packed) // 4, sha256(packed).hexdigest(), decoded.hexdigest()
+            row = (doc_id, len(packed) // 4, sha256(packed).hexdigest(), decoded.hexdigest())
+            return (*row, packed) if with_ids else row
 
         return one
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return row_map(docs.select("doc_id", "text"), start, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return row_map(docs.select("doc_id", "text"), start, schema + ", ids binary" * with_ids)

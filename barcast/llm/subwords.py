@@ -7,7 +7,9 @@ weights. A word is a first piece, further pieces and a stop, so that all words
 together have probability one. In the lattice of a training word there is one
 more arc, the word as a whole, weighted by its discounted count; the mass of
 the discounts goes to the pieces. A text is the product over its words and its
-end.
+end. Probabilities of all words sum to one, whereas the base score gives every
+unseen word the same half count, so on texts with many unseen words the base
+is the larger number.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from barcast.llm.common import held_out, map_lists
 from barcast.session import staged
 
-DISCOUNT = 0.5
+DISCOUNT = 0.75
 FREQUENT = 3e-6  # words of at least this share of all tokens, at most 1 / FREQUENT of them, are sent to all tasks
 FLUSH = 300_000  # distinct words a task counts before it writes them
 _LAST = (1 << 63) - 1  # stands for a null id

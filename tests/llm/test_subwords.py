@@ -1,6 +1,6 @@
 import zlib
 from collections import Counter
-from math import exp, isclose, log, log10
+from math import exp, isclose, log10
 
 import public_tokenizers as P
 import pytest
@@ -59,8 +59,11 @@ def test_scores(spark):
     assert subwords.scored(docs.limit(0), PATH).count() == 0
 
 
-def test_beats_base_on_held_out(spark):
+def test_adapted_weights_fit_held_out_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    r = subwords.scored(docs, PATH).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
-    print(r)
-    assert r.s > r.b
+    train, test = docs.where("crc32(cast(doc_id AS string)) % 5 <> 1"), docs.where("crc32(cast(doc_id AS string)) % 5 = 1")
+    table = subwords.word_counts(train.selectExpr("text", "true AS training"))
+    pieces = subwords.adapted(table, PATH)
+    unseen = {w for r in test.collect() for w in subwords.words_of(r.text)} - {bytes(r.word) for r in table.collect()}
+    assert len(unseen) > 1000
+    assert sum(subwords.word_log(w, pieces) for w in unseen) > sum(subwords.word_log(w, PIECES) for w in unseen) + len(unseen)
