@@ -15,7 +15,6 @@ is the larger number.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from math import exp, log, log10
@@ -55,7 +54,8 @@ class Pieces:
 
     first: dict[str, float]
     further: dict[str, float]
-    longest: int
+    first_trie: dict  # by character; the piece and its weight under the empty string
+    further_trie: dict
 
     @staticmethod
     def of(counts: dict[tuple[bool, str], float]) -> "Pieces":
@@ -65,7 +65,18 @@ class Pieces:
             own = {p: c for (f, p), c in counts.items() if f == is_first}
             total = log(sum(own.values()))
             parts[is_first].update({p: log(c) - total for p, c in own.items()})
-        return Pieces(parts[1], parts[0], max(len(p) for _, p in counts))
+        return Pieces(parts[1], parts[0], _trie(parts[1]), _trie(parts[0]))
+
+
+def _trie(weights: dict[str, float]) -> dict:
+    root: dict = {}
+    for piece, weight in weights.items():
+        node = root
+        for char in piece:
+            node = node.setdefault(char, {})
+        if piece:
+            node[_STOP] = (piece, weight)
+    return root
 
 
 def prior(ranks: dict[str, int]) -> dict[tuple[bool, str], float]:
@@ -78,35 +89,45 @@ def prior(ranks: dict[str, int]) -> dict[tuple[bool, str], float]:
     return counts
 
 
-def arcs(word: str, pieces: Pieces) -> Iterator[list[tuple[int, str, float]]]:
-    """For each end in the marked word, the arcs that lead there: (begin, piece, log weight)."""
-    marked, first, further, longest = _MARK + word, pieces.first, pieces.further, pieces.longest
-    for end in range(1, len(marked) + 1):
-        found = []
-        if end <= longest and (weight := first.get(marked[:end])) is not None:
-            found.append((0, marked[:end], weight))
-        for begin in range(max(1, end - longest), end):
-            part = marked[begin:end]
-            weight = further.get(part)
-            if weight is not None:
-                found.append((begin, part, weight))
-        if end > 1 and marked[end - 1] not in further:  # its bytes, as one arc
-            names = [f"<0x{b:02X}>" for b in marked[end - 1].encode("utf-8", "replace")]
-            found.append((end - 1, " ".join(names), sum(further[n] for n in names)))
-        yield found
-
-
 def log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
     top = max(terms)
-    return top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms]))
+    return top + log(sum([exp(t - top) for t in terms]))
 
 
 def forward(word: str, pieces: Pieces) -> tuple[list[float], list[list[tuple[int, str, float]]]]:
-    """Log probability of reaching each end, and the arcs; the mark alone is always an arc, so each end is reached."""
-    reached, steps = [0.0], []
-    for found in arcs(word, pieces):
-        reached.append(log_sum([reached[b] + w for b, _, w in found]))
-        steps.append(found)
+    """Log probability of reaching each end of the marked word, and the arcs (begin, piece, log weight) to it.
+
+    The mark alone is always an arc and so are the bytes of any character, so each end is reached.
+    """
+    marked = _MARK + word
+    size = len(marked)
+    steps: list[list[tuple[int, str, float]]] = [[] for _ in range(size)]
+    terms: list[list[float]] = [[] for _ in range(size)]
+    reached = [0.0]
+    node = pieces.first_trie
+    for begin in range(size):
+        if begin:
+            node, here = pieces.further_trie, log_sum(terms[begin - 1])
+            reached.append(here)
+        else:
+            here = 0.0
+        begun = node
+        for end in range(begin, size):
+            node = node.get(marked[end])
+            if node is None:
+                break
+            found = node.get(_STOP)
+            if found is not None:
+                steps[end].append((begin, *found))
+                terms[end].append(here + found[1])
+        if begin and _STOP not in begun.get(marked[begin], ()):  # its bytes, as one arc
+            names = [f"<0x{b:02X}>" for b in marked[begin].encode("utf-8", "replace")]
+            weight = sum(pieces.further[n] for n in names)
+            steps[begin].append((begin, " ".join(names), weight))
+            terms[begin].append(here + weight)
+    reached.append(log_sum(terms[-1]))
     return reached, steps
 
 
