@@ -109,25 +109,24 @@ def refined(data: np.ndarray, length: int, q: int = 8) -> np.ndarray:
     start = np.zeros(len(data), dtype=np.uint64)
     for i in range(min(q, 7)):  # 9 bits a byte fit seven times
         start = (start << np.uint64(9)) | padded[i : i + len(data)]
-    bucket = np.unique(start, return_inverse=True)[1].astype(np.int64) + 1
+    # a bucket is named by its first place in the order of all suffixes
+    _, inverse, counts = np.unique(start, return_inverse=True, return_counts=True)
+    bucket = (np.cumsum(counts) - counts + 1)[inverse]
+    size = counts[inverse]
     depth = min(q, 7)
     while depth < length:
         step = min(depth, length - depth)
-        later = np.concatenate([bucket[step:], np.zeros(step, dtype=np.int64)])
-        sizes = np.bincount(bucket)
-        open_ = np.nonzero(sizes[bucket] > 1)[0]  # a bucket of one suffix is final
+        open_ = np.nonzero(size > 1)[0]  # a bucket of one suffix is final
         if not len(open_):
             break
-        key = bucket[open_] * (len(data) + 2) + later[open_]
-        names, inverse = np.unique(key, return_inverse=True)
-        # a bucket keeps its place: its parts are numbered from its first place on
-        fresh = np.zeros(len(data), dtype=np.int64)
-        fresh[open_] = inverse
-        total = np.lexsort((fresh, bucket))
-        change = np.concatenate([[True], (bucket[total][1:] != bucket[total][:-1]) | (fresh[total][1:] != fresh[total][:-1])])
-        renamed = np.empty(len(data), dtype=np.int64)
-        renamed[total] = np.cumsum(change)
-        bucket = renamed
+        later = np.where(open_ + step < len(data), bucket[np.minimum(open_ + step, len(data) - 1)], 0)
+        names, inverse, counts = np.unique(bucket[open_] * (len(data) + 2) + later, return_inverse=True, return_counts=True)
+        owner = names // (len(data) + 2)
+        before = np.cumsum(counts) - counts
+        first = np.concatenate([[True], owner[1:] != owner[:-1]])
+        start_of = before[np.maximum.accumulate(np.where(first, np.arange(len(names)), 0))]
+        bucket[open_] = (owner + before - start_of)[inverse]
+        size[open_] = counts[inverse]
         depth += step
     return bucket
 
@@ -173,22 +172,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     def cut(batches):
         for ids, hashes, texts, places in batches:
             out: list[tuple] = []
-            size = 0
             for at, text_hash, text, own in zip(ids, hashes, texts, places):
                 data = text.encode()
                 for p in own:
-                    if p["hot"]:
-                        for s in range(p["lo"], p["hi"] + 1):
-                            out.append((at, text_hash, p["anchor"], s, 1, xxhash.xxh3_128_digest(data[s : s + length]), True))
-                    else:
-                        out.append((at, text_hash, p["anchor"], p["lo"], p["hi"] - p["lo"] + 1, data[p["lo"] : p["hi"] + length], False))
+                    out.append((p["anchor"], at, text_hash, p["lo"], p["hi"] - p["lo"] + 1, data[p["lo"] : p["hi"] + length]))
                     if len(out) >= 20_000:
                         yield [list(c) for c in zip(*out)]
                         out = []
             if out:
                 yield [list(c) for c in zip(*out)]
 
-    cuts = map_lists(joined.select("at", "text_hash", "text", "places"), cut, "at bigint, text_hash bigint, anchor bigint, lo bigint, windows int, bytes binary, hot boolean")
+    def contexts(hot_ones: bool) -> DataFrame:
+        chosen = F.filter("places", lambda p: p["hot"] if hot_ones else ~p["hot"]).alias("places")
+        some = joined.select("at", "text_hash", "text", chosen).where(F.size("places") > 0)
+        return map_lists(some, cut, "anchor bigint, at bigint, text_hash bigint, lo bigint, windows int, bytes binary")
 
     def sort(batches):
         held: list[list] = [[] for _ in range(6)]
@@ -212,11 +209,41 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         if size and (found := out()):
             yield found
 
-    cold = cuts.where("not hot").select("anchor", "at", "text_hash", "lo", "windows", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    cold = contexts(False).repartition("anchor").sortWithinPartitions("anchor")
     spans = map_lists(cold, sort, "at bigint, text_hash bigint, begin bigint, end bigint")
-    warm = cuts.where("hot").select("at", "text_hash", "lo", "bytes")
-    again = warm.groupBy("bytes").agg(F.count("*").alias("n")).where("n > 1").select("bytes")
-    return spans.unionByName(warm.join(again, "bytes").select("at", "text_hash", F.col("lo").alias("begin"), (F.col("lo") + length).alias("end")))
+    return spans.unionByName(_by_identifiers(contexts(True), length))
+
+
+def _by_identifiers(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges of the contexts of frequent anchors: windows are grouped by identifier, equal contexts once."""
+    kinds = contexts.groupBy("bytes", "windows").agg(F.count("*").alias("times"))
+
+    def windows(batches):
+        for texts, counts, times in batches:
+            for data, count, n in zip(texts, counts, times):
+                names = [xxhash.xxh3_128_digest(data[s : s + length]) for s in range(count)]
+                yield [[xxhash.xxh3_128_digest(data)] * count, list(range(count)), names, [n] * count]
+
+    each = map_lists(kinds, windows, "context binary, place int, window binary, times bigint")
+    again = each.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+    places = each.join(again, "window").groupBy("context").agg(F.array_sort(F.collect_set("place")).alias("places"))
+
+    def named(batches):
+        for ats, hashes, los, texts in batches:
+            yield [ats, hashes, los, [xxhash.xxh3_128_digest(t) for t in texts]]
+
+    def ranges(batches):
+        for ats, hashes, los, found in batches:
+            rows = []
+            for at, text_hash, lo, own in zip(ats, hashes, los, found):
+                flags = np.zeros(own[-1] + 1, dtype=bool)
+                flags[own] = True
+                rows += [(at, text_hash, b, e) for b, e in _spans(flags, lo, length)]
+            if rows:
+                yield [list(c) for c in zip(*rows)]
+
+    here = map_lists(contexts.select("at", "text_hash", "lo", "bytes"), named, "at bigint, text_hash bigint, lo bigint, context binary")
+    return map_lists(here.join(places, "context").select("at", "text_hash", "lo", "places"), ranges, "at bigint, text_hash bigint, begin bigint, end bigint")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
