@@ -45,7 +45,7 @@ def run_baselines(spark: SparkSession, bars_path: str, out: str, params: Params
     write_results(baseline_results(read_bars(prepare(spark), bars_path), params), out)
 
 
-def run_pooled(spark: SparkSession, bars_path: str, out: str, params: Params = Params(max_assets=50)) -> None:
+def run_pooled(spark: SparkSession, bars_path: str, out: str, params: Params = Params()) -> None:
     write_results(pooled_eval(_chosen_bars(spark, bars_path, params, None), params), out)
 
 
@@ -53,7 +53,7 @@ def run_per_asset(
     spark: SparkSession,
     bars_path: str,
     out: str,
-    params: Params = Params(max_assets=50),
+    params: Params = Params(),
     assets: Iterable[str] | str | None = None,
 ) -> None:
     """``assets``: ids, or the path of a text file with one id per line."""
@@ -64,7 +64,7 @@ def run_refit(
     spark: SparkSession,
     bars_path: str,
     out: str,
-    params: Params = Params(max_assets=1000),
+    params: Params = Params(),
     assets: Iterable[str] | str | None = None,
 ) -> None:
     """Forecasts of the test period and their scores, under ``out``.
