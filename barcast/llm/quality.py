@@ -31,7 +31,7 @@ class Settings:
     per_class: int = 2_000  # bound on labelled rows of a class used in training
     buckets: int = 1 << 17
     dim: int = 8
-    epochs: int = 6
+    steps: int = 750  # mini-batches, whatever the number of rows
     rate: float = 2.0
     batch: int = 32
     size: int = 3  # of character n-grams
@@ -90,33 +90,31 @@ def train(rows: list[tuple[int, float, np.ndarray, np.ndarray]], settings: Setti
     table = rng.uniform(-1 / settings.dim, 1 / settings.dim, (settings.buckets, settings.dim)).astype(np.float32)
     layer = np.zeros((settings.dim, 2), np.float32)
     bias = np.zeros(2, np.float32)
-    steps = settings.epochs * (-(-len(rows) // settings.batch) or 1)
-    step = 0
-    for _ in range(settings.epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), settings.batch):
-            rate = settings.rate * (1 - step / steps)
-            step += 1
-            chosen = [rows[i] for i in order[at : at + settings.batch]]
-            sizes = np.array([len(r[2]) for r in chosen])
-            full = sizes > 0
-            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(int)
-            where = np.concatenate([r[2] for r in chosen])
-            share = np.concatenate([r[3] / max(1, r[3].sum()) for r in chosen]).astype(np.float32)
-            hidden = np.zeros((len(chosen), settings.dim), np.float32)
-            if len(where):
-                hidden[full] = np.add.reduceat(table[where] * share[:, None], starts)
-            logits = hidden @ layer + bias
-            odds = np.exp(logits - logits.max(1, keepdims=True))
-            slope = odds / odds.sum(1, keepdims=True)
-            slope[np.arange(len(chosen)), [r[0] for r in chosen]] -= 1
-            slope *= (np.array([r[1] for r in chosen], np.float32) / len(chosen))[:, None]
-            back = slope @ layer.T
-            layer -= rate * hidden.T @ slope
-            bias -= rate * slope.sum(0)
-            if len(where):
-                step_by_row = np.repeat(back, sizes, axis=0) * share[:, None] * np.float32(rate * settings.batch)
-                np.subtract.at(table, where, step_by_row)
+    order: list[int] = []
+    for step in range(settings.steps if rows else 0):
+        if len(order) < settings.batch:
+            order += rng.permutation(len(rows)).tolist()
+        chosen, order = [rows[i] for i in order[: settings.batch]], order[settings.batch :]
+        rate = settings.rate * (1 - step / settings.steps)
+        sizes = np.array([len(r[2]) for r in chosen])
+        full = sizes > 0
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(int)
+        where = np.concatenate([r[2] for r in chosen])
+        share = np.concatenate([r[3] / max(1, r[3].sum()) for r in chosen]).astype(np.float32)
+        hidden = np.zeros((len(chosen), settings.dim), np.float32)
+        if len(where):
+            hidden[full] = np.add.reduceat(table[where] * share[:, None], starts)
+        logits = hidden @ layer + bias
+        odds = np.exp(logits - logits.max(1, keepdims=True))
+        slope = odds / odds.sum(1, keepdims=True)
+        slope[np.arange(len(chosen)), [r[0] for r in chosen]] -= 1
+        slope *= (np.array([r[1] for r in chosen], np.float32) / len(chosen))[:, None]
+        back = slope @ layer.T
+        layer -= rate * hidden.T @ slope
+        bias -= rate * slope.sum(0)
+        if len(where):
+            step_by_row = np.repeat(back, sizes, axis=0) * share[:, None] * np.float32(rate * settings.batch)
+            np.subtract.at(table, where, step_by_row)
     change = layer[:, 1] - layer[:, 0]
     return Model((table @ change).astype(np.float32), float(bias[1] - bias[0]), settings)
 
