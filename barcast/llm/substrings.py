@@ -233,17 +233,18 @@ def _by_identifiers(contexts: DataFrame, length: int) -> DataFrame:
             yield [ats, hashes, los, [xxhash.xxh3_128_digest(t) for t in texts]]
 
     def ranges(batches):
-        for ats, hashes, los, found in batches:
+        for ats, hashes, begins, found in batches:
             rows = []
-            for at, text_hash, lo, own in zip(ats, hashes, los, found):
+            for at, text_hash, los, own in zip(ats, hashes, begins, found):
                 flags = np.zeros(own[-1] + 1, dtype=bool)
                 flags[own] = True
-                rows += [(at, text_hash, b, e) for b, e in _spans(flags, lo, length)]
+                rows += [(at, text_hash, lo + b, lo + e) for b, e in _spans(flags, 0, length) for lo in los]
             if rows:
                 yield [list(c) for c in zip(*rows)]
 
     here = map_lists(contexts.select("at", "text_hash", "lo", "bytes"), named, "at bigint, text_hash bigint, lo bigint, context binary")
-    return map_lists(here.join(places, "context").select("at", "text_hash", "lo", "places"), ranges, "at bigint, text_hash bigint, begin bigint, end bigint")
+    here = here.groupBy("at", "text_hash", "context").agg(F.collect_set("lo").alias("los"))  # a text's own repeats go as one row
+    return map_lists(here.join(places, "context").select("at", "text_hash", "los", "places"), ranges, "at bigint, text_hash bigint, begin bigint, end bigint")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
