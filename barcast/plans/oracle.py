@@ -6,8 +6,6 @@ share nothing with the Spark plans.
 
 from __future__ import annotations
 
-from barcast.sources.pages import ANCHOR_HREF, COMMENT, RAW_TEXT
-
 HORIZON = 10
 CUT = 1_706_222_700  # 2024-01-25 23:45 Europe/Berlin
 VAL_CUT = CUT - 7 * 86_400
@@ -168,14 +166,7 @@ def _profile(table: str, columns: list[tuple[str, str]]) -> str:
     return " UNION ALL ".join(rows)
 
 
-def _sql_text(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 def oracle() -> dict[str, str]:
-    markup = (
-        f"regexp_replace(regexp_replace(html, {_sql_text(COMMENT)}, '', 'g'), {_sql_text(RAW_TEXT)}, '', 'g')"
-    )
     plain_lags = {
         "lags_full": ("bars", "PARTITION BY asset ORDER BY s"),
         "lags_by_split": (
@@ -218,13 +209,29 @@ SELECT asset, pos::INTEGER AS pos FROM {LISTED} WHERE asset NOT IN (SELECT "ID"
         ),
         "head_sample": f"""WITH {RAW}
 SELECT "ID", seq, epoch_us("ExecutionTime") AS t_us, high, low, "close", volume FROM raw ORDER BY seq, "ID" LIMIT 5""",
-        "page_links": f"""WITH found AS (
-  SELECT page_id, regexp_extract_all({markup}, {_sql_text(ANCHOR_HREF)}, 1) AS hrefs FROM pages),
+        # A tag is cut at the first ">" outside quotes: by taking quoted runs as units, then by attribute.
+        "page_links": r"""WITH plain AS (
+  SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                                 '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g') AS html FROM pages),
+tags AS (
+  SELECT page_id, regexp_extract_all(html, '(?i)<a[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS tags FROM plain),
+attrs AS (
+  SELECT page_id, list_transform(tags, lambda tag:
+           list_filter(regexp_extract_all(tag, '[^\s/>="'']+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'),
+                       lambda a: regexp_matches(a, '(?i)^href\s*='))[1]) AS hrefs FROM tags),
 links AS (
-  SELECT page_id, unnest(range(0, len(hrefs)))::INTEGER AS link_pos, unnest(hrefs) AS quoted FROM found)
-SELECT page_id, link_pos, replace(trim(quoted, '"'''), '&amp;', '&') AS href,
-       ends_with(replace(trim(quoted, '"'''), '&amp;', '&'), '.parquet') AS is_match
-FROM links WHERE trim(quoted, '"''') <> ''""",
+  SELECT page_id, unnest(range(0, len(hrefs)))::INTEGER AS link_pos, unnest(hrefs) AS attr
+  FROM (SELECT page_id, list_filter(hrefs, lambda h: h IS NOT NULL) AS hrefs FROM attrs)),
+found AS (
+  SELECT page_id, link_pos, list_aggregate(list_transform(
+           regexp_extract_all(trim(regexp_replace(attr, '(?i)^href\s*=\s*', ''), '"'''), '&#?\w+;|&|[^&]+'),
+           lambda p: CASE WHEN p SIMILAR TO '&#[0-9]+;' THEN chr(p[3:-2]::INTEGER)
+                          WHEN p SIMILAR TO '&#[xX][0-9a-fA-F]+;' THEN chr(('0x' || p[4:-2])::INTEGER)
+                          WHEN p = '&amp;' THEN '&' WHEN p = '&lt;' THEN '<' WHEN p = '&gt;' THEN '>'
+                          WHEN p = '&quot;' THEN '"' WHEN p = '&apos;' THEN '''' WHEN p = '&nbsp;' THEN chr(160)
+                          ELSE p END), 'string_agg', '') AS href
+  FROM links)
+SELECT page_id, link_pos, href, ends_with(href, '.parquet') AS is_match FROM found WHERE href <> ''""",
         "grid_bounds": f"""WITH {DEDUP}
 SELECT lo, hi, (SELECT count(DISTINCT "ID") FROM raw) AS n_assets, (hi - lo) // 900 + 1 AS n_slots FROM bounds""",
         "time_grid": f"""WITH {DEDUP}

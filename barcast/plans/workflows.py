@@ -13,7 +13,7 @@ from barcast.operators.evaluation import eval_summary, forecast_eval, worst_asse
 from barcast.operators.pooled_models import pooled_eval
 from barcast.operators.series_models import per_asset_eval, refit_forecasts
 from barcast.operators.summary import asset_summary
-from barcast.session import prepare
+from barcast.session import prepare, staged
 from barcast.sources.assets import asset_list, restricted
 from barcast.sources.bars import read_bars, write_bars
 from barcast.sources.raw import read_raw
@@ -69,13 +69,15 @@ def run_refit(
 ) -> None:
     """Forecasts of the test period and their scores, under ``out``.
 
-    Forecasts of assets outside this run stay untouched. Scores are computed
-    from the stored forecasts, so models are fitted once.
+    Forecasts of assets outside this run stay untouched, and only this run's
+    are scored. Scores are computed from the stored forecasts, so models are
+    fitted once.
     """
     bars = _chosen_bars(spark, bars_path, params, assets)
     forecasts_path = f"{out}/forecasts"
-    write_forecasts(refit_forecasts(bars, params), forecasts_path)
-    results = forecast_eval(read_forecasts(spark, forecasts_path))
+    run = staged(bars.select("asset").distinct(), "run")
+    write_forecasts(refit_forecasts(bars, params), forecasts_path, run)
+    results = forecast_eval(read_forecasts(spark, forecasts_path).join(run, "asset", "left_semi"))
     results.write.mode("overwrite").parquet(f"{out}/results_table")
     stored = spark.read.parquet(f"{out}/results_table")
     write_results(stored, f"{out}/results")
@@ -87,4 +89,4 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
     schema = (
         "feature string, origin timestamp, horizon int, target_time timestamp, pred double, `true` double, asset string"
     )
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).where("feature is not null")

@@ -11,6 +11,8 @@ _REQUIRED = {
     # Stored instants are UTC; calendar fields convert explicitly.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Ids in folder names are text: "007" stays "007".
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns are RE2-compatible: no look-around, so other engines can run them too.
 COMMENT = r"(?s)<!--.*?-->"
 RAW_TEXT = r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>"
-ANCHOR_HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
-QUOTES = r"^[\"']|[\"']$"
+# One attribute: a name, then perhaps a quoted or a bare value. Quoted values may hold ">".
+ATTRIBUTE = r"[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+"
+ANCHOR = rf"(?i)<a[\s/]((?:[\s/]*+{ATTRIBUTE})*+)[\s/]*+>"
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z]+);|&|[^&]+"
+# The named character references that are decoded in targets.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+_REPLACEMENT = "�"
 
 
 def visible_markup(html: Column) -> Column:
@@ -17,13 +21,43 @@ def visible_markup(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, COMMENT, ""), RAW_TEXT, "")
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; the replacement character where there is none."""
+    unfit = code.isNull() | (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    text = F.decode(F.unhex(F.lpad(F.hex(F.when(unfit, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+    return F.coalesce(text, F.lit(_REPLACEMENT))
+
+
+def decoded(text: Column) -> Column:
+    """Text with numeric and the common named character references decoded; others stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        body = F.regexp_replace(piece, "^&#?[xX]?|;$", "")
+        return (
+            F.when(piece.rlike("^&#[xX]"), _character(F.conv(F.right(F.concat(F.lit("0"), body), F.lit(9)), 16, 10).cast("long")))
+            .when(piece.rlike("^&#"), _character(F.right(body, F.lit(12)).cast("long")))
+            .when(piece.rlike("^&.*;$"), F.coalesce(F.try_element_at(names, F.regexp_replace(piece, "[&;]", "")), piece))
+            .otherwise(piece)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one), "")
+
+
 def page_links(pages: DataFrame, suffix: str, html: str = "html") -> DataFrame:
-    """One row per non-empty anchor target, in page order, flagged where it ends in ``suffix``."""
-    found = F.regexp_extract_all(visible_markup(F.col(html)), F.lit(ANCHOR_HREF), F.lit(1))
-    links = pages.select("page_id", "url", F.posexplode(found).alias("link_pos", "quoted"))
-    href = F.replace(F.regexp_replace("quoted", QUOTES, ""), F.lit("&amp;"), F.lit("&"))
+    """One row per anchor with a non-empty target, in page order, flagged where it ends in ``suffix``.
+
+    The target is the first attribute named exactly ``href``. ``link_pos`` counts all anchors that name one.
+    """
+    anchors = F.regexp_extract_all(visible_markup(F.col(html)), F.lit(ANCHOR), F.lit(1))
+    attributes = F.transform(anchors, lambda a: F.regexp_extract_all(a, F.lit(ATTRIBUTE), F.lit(0)))
+    targets = F.transform(attributes, lambda a: F.get(F.filter(a, lambda x: x.rlike(r"(?i)^href(?:\s*=|$)")), F.lit(0)))
+    named = F.filter(targets, lambda t: t.rlike("="))
+    links = pages.select("page_id", "url", F.posexplode(named).alias("link_pos", "attribute"))
+    bare = F.regexp_replace("attribute", r"(?is)^href\s*=\s*", "")
+    value = F.when(bare.rlike("^[\"']"), F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
     return (
-        links.select("page_id", "url", "link_pos", href.alias("href"))
+        links.select("page_id", "url", "link_pos", decoded(value).alias("href"))
         .where(F.col("href") != "")
         .withColumn("is_match", F.endswith("href", F.lit(suffix)))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from barcast.config import MEASURES
 from barcast.functions.measures import nan_to_null
 from barcast.functions.times import as_instant
+from barcast.session import prepare
 
 RAW_SCHEMA = T.StructType(
     [
@@ -79,6 +80,7 @@ def read_raw(spark: SparkSession, paths: list[str]) -> RawScan:
     parts: list[DataFrame] = []
     skipped: list[str] = []
     n_files = 0
+    prepare(spark)
     for path in paths:
         try:
             source = spark.read.parquet(path)

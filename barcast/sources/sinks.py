@@ -29,8 +29,14 @@ def write_raw_by_id(raw: DataFrame, path: str) -> None:
     )
 
 
-def write_forecasts(forecasts: DataFrame, path: str) -> None:
-    """Forecasts by asset. Only assets present in ``forecasts`` are replaced."""
+def write_forecasts(forecasts: DataFrame, path: str, assets: DataFrame | None = None) -> None:
+    """Forecasts by asset. Only assets present in ``forecasts`` or in ``assets`` are replaced.
+
+    Each of ``assets`` gets one empty row (no feature), so that an asset of
+    this run without forecasts loses its old ones; readers leave that row out.
+    """
+    if assets is not None:
+        forecasts = forecasts.unionByName(assets.select("asset").distinct(), allowMissingColumns=True)
     (
         forecasts.repartition("asset", "feature")
         .sortWithinPartitions("asset", "feature", "horizon", "origin")

@@ -3,6 +3,8 @@ from compare import compare, connect
 from conftest import SF
 
 from __spark_entry__ import entry, oracle_sql, queries
+from barcast.plans.oracle import oracle
+from barcast.plans.queries import registered
 
 # Kept out of the quick suite: fits take minutes. test_models.py covers them.
 SLOW = {"per_asset_eval", "refit_forecasts", "pooled_eval"}
@@ -13,13 +15,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle()))
 def test_query_equals_its_sql(spark, con, name):
     assert compare(spark, con, SF, name) == ""
 
 
 def test_every_query_but_the_model_fits_has_sql():
-    assert set(queries()) - set(oracle_sql()) == SLOW
+    assert set(registered()) - set(oracle()) == SLOW
+    assert set(registered()) <= set(queries()) and set(oracle()) <= set(oracle_sql())
 
 
 def test_entry(spark):

@@ -1,7 +1,8 @@
 import pathlib
+from html.parser import HTMLParser
 
 import pytest
-from conftest import BARS, SF, series, utc
+from conftest import BARS, RAW, SF, series, utc
 from pyspark.sql import functions as F
 
 from barcast.config import Params
@@ -96,6 +97,58 @@ def test_links(spark):
     assert [r["href"] for r in matching_links(pages).collect()] == ["x.parquet"]
 
 
+class _Targets(HTMLParser):
+    """Anchor targets as the standard library's parser sees them."""
+
+    def __init__(self):
+        super().__init__()
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        hrefs = [v for k, v in attrs if k == "href"]
+        if tag == "a" and hrefs and hrefs[0]:
+            self.found.append(hrefs[0])
+
+
+def test_links_like_a_parser(spark):
+    cases = [
+        '<a title="a > b" href="z.parquet">',
+        '<a data-x=" href=bad" href="good.parquet">',
+        '<a href="q&#38;r.parquet">',
+        "<a href=x&#x26;y&lt;&eacute;zz>",
+        '<a href="1.parquet"class="b"><a HREF = \'2.parquet\' href="3">',
+        "<a name=top>no</a><a href>no</a><abbr href=q><a/href=slash>",
+        '<a data-href="no" href="yes.parquet"/>',
+        "text without links",
+        "",
+    ]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate([*cases, None])], "page_id long, url string, html string")
+    got = [[] for _ in range(len(cases) + 1)]
+    for r in page_links(pages, ".parquet").orderBy("page_id", "link_pos").collect():
+        got[r["page_id"]].append(r["href"])
+    for case, found in zip(cases, got):
+        parser = _Targets()
+        parser.feed(case.replace("&eacute;", "&amp;eacute;"))  # other named references stay as they are
+        assert found == parser.found, case
+    assert got[-1] == []
+
+
+def test_text_ids_survive_folders_by_id(spark, tmp_path):
+    rows = [(i, utc("2024-01-01"), 1.0, 1.0, 1.0, 1.0, 0) for i in ("007", "08", "1e3", "b c")]
+    sinks.write_raw_by_id(spark.createDataFrame(rows, RAW), f"{tmp_path}/ids")
+    assert {r["ID"] for r in read_raw(spark, [f"{tmp_path}/ids"]).records.collect()} == {"007", "08", "1e3", "b c"}
+
+
+def test_assets_without_new_forecasts_lose_their_old_ones(spark, tmp_path):
+    schema = "asset string, feature string, origin timestamp, horizon int, target_time timestamp, pred double, `true` double"
+    row = ("close", utc("2024-01-01"), 1, utc("2024-01-01 00:15"), 1.0, None)
+    path = f"{tmp_path}/fc"
+    sinks.write_forecasts(spark.createDataFrame([(a, *row) for a in "abc"], schema), path)
+    run = spark.createDataFrame([("a",), ("b",)], "asset string")
+    sinks.write_forecasts(spark.createDataFrame([("a", *row)], schema), path, run)
+    assert sorted(r["asset"] for r in workflows.read_forecasts(spark, path).collect()) == ["a", "c"]
+
+
 def test_raw_rows_by_id_append(spark, tmp_path):
     raw = raw_ohlcv(spark, SF)
     path = f"{tmp_path}/by_id"
