@@ -256,10 +256,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     bytes. Other columns are ignored.
     """
     spans = repeated_spans(docs, length, gram, hot).groupBy("at", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("at"), F.xxhash64("text").alias("text_hash"), "text")
 
     def work(batches):
-        for ids, texts, spans_of in batches:
+        for ats, texts, spans_of in batches:
             out = []
             for text, spans in zip(texts, spans_of):
                 data, end, kept, runs, removed = (text or "").encode(), 0, [], 0, 0
@@ -274,9 +273,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                         end = e
                 kept.append(data[end:])
                 out.append((len(data), removed, runs, b"".join(kept)))
-            yield [ids, *([list(c) for c in zip(*out)] or [[], [], [], []])]
+            yield [[None if at == _LAST else at for at in ats], *([list(c) for c in zip(*out)] or [[], [], [], []])]
 
-    joined = rows.join(spans, ["at", "text_hash"], "left").select("doc_id", "text", "spans")
+    # the same rows as those that contexts are cut from, so texts are exchanged once
+    joined = _keyed(docs).join(spans, ["at", "text_hash"], "left").select("at", "text", "spans")
     return map_lists(joined, work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
