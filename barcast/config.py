@@ -57,8 +57,8 @@ class Params:
     pooled_gate_rounds: int = 100
     patience: int = 20
     max_assets: int | None = None
-    # Slots per window group. Bars are regular, so a series is cut into time
-    # chunks with a few rows of overlap and no task ever holds a whole series.
+    # Slots per window group: no task ever holds a whole series. The results
+    # do not depend on it, nor on gaps.
     chunk_slots: int | None = 4096
 
     def __post_init__(self) -> None:

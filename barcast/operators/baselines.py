@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from barcast.config import Params
 from barcast.functions.scoring import smape
 from barcast.operators.splits import is_origin, validation_window
-from barcast.operators.windows import with_leads
+from barcast.operators.windows import by_time, with_lags_and_times
 
 BASELINES = ("zero", "persistence")
 
 
 def origin_truths(bars: DataFrame, params: Params) -> DataFrame:
-    """Evaluation origins with the H following values of every feature."""
+    """Evaluation origins with the values of every feature 1..H grid steps later."""
     window = validation_window(bars, params)
-    return with_leads(window, params).where(is_origin(params))
+    ahead = with_lags_and_times(window, params, lags=False).where(is_origin(params))
+    return by_time(ahead, params, "next")
 
 
 def truth_cells(bars: DataFrame, params: Params) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barcast.config import Params
-from barcast.functions.times import steps_after
 from barcast.operators.splits import train_pool, with_split
-from barcast.operators.windows import lag_columns_of, with_calendar, with_lags_and_leads
+from barcast.operators.windows import by_time, lag_columns_of, with_calendar, with_lags_and_leads, with_lags_and_times
 
 
 def validation_frame(bars: DataFrame, params: Params) -> DataFrame:
@@ -26,19 +25,16 @@ def validation_frame(bars: DataFrame, params: Params) -> DataFrame:
 def refit_frame(bars: DataFrame, params: Params) -> DataFrame:
     """All bars with lags over the whole series, so test rows see train values.
 
-    ``truth_<feature>`` holds the future values over the whole series, used to
-    score; ``next_<feature>`` those up to the cutoff, used to fit.
+    ``truth_<feature>`` holds the values exactly 1..H grid steps later, used to
+    score; ``next_<feature>`` those of the next H rows up to the cutoff, used to fit.
     """
     cut = params.cutoff()
-    full = with_calendar(with_lags_and_leads(with_split(bars, params), params), params)
+    full = with_calendar(with_lags_and_times(with_split(bars, params), params), params)
     for f in params.features:
         # A target is usable for fitting only if it, too, is at or before the cutoff.
-        inside = [
-            F.when(steps_after(F.col("t"), h) <= cut, F.col(f"truth_{f}")[h - 1])
-            for h in params.horizons
-        ]
-        full = full.withColumnRenamed(f"next_{f}", f"truth_{f}").withColumn(f"next_{f}", F.array(*inside))
-    return full
+        inside = [F.when(F.col("next_t")[h - 1] <= cut, F.col(f"next_{f}")[h - 1]) for h in params.horizons]
+        full = full.withColumn(f"truth_{f}", F.col(f"next_{f}")).withColumn(f"next_{f}", F.array(*inside))
+    return by_time(full, params, "truth")
 
 
 def long_targets(frame: DataFrame, params: Params, keep: list[str]) -> DataFrame:

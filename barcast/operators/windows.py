@@ -1,11 +1,11 @@
-"""Lags and leads over regular bars, in one window pass.
+"""Lags and leads over bars, in chunks of time.
 
 A plain ``partitionBy("asset")`` window puts a whole series into one task.
-Bars are regular, so the k-th row before or after a bar is known to lie within
-k grid steps. Each series is therefore cut into time chunks, the few rows next
-to a chunk border are copied into the neighbouring chunk, the window runs per
-(series, chunk), and the copies are dropped again. The result equals the plain
-window, and group size no longer depends on the length of a series.
+Each series is therefore cut into time chunks and the window runs per (series,
+chunk). Only rows next to a chunk border miss neighbours; these few rows, with
+the rows they need, are shifted once more over the whole series. That holds for
+any spacing of rows: a chunk may be short or missing. The result equals the
+plain window, and group size does not depend on the length of a series.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barcast.config import STEP_SECONDS, Params
-from barcast.functions.times import local_hour, local_weekday
+from barcast.functions.times import local_hour, local_weekday, steps_after
 
-_HOME, _CHUNK = "_home_chunk", "_chunk"
+_CHUNK, _BEFORE, _AFTER = "_chunk", "_before", "_after"
 
 
 def shifted(
@@ -33,47 +33,45 @@ def shifted(
     ``columns`` maps a new name to (source column, shift); a positive shift
     looks ahead, a negative one back. ``arrays`` maps a new name to (source,
     shifts) and yields one array per row. ``chunk_slots=None`` runs the plain
-    window, for frames that are not on a regular grid.
+    window.
     """
     arrays = arrays or {}
     shifts = [s for _, s in columns.values()] + [s for _, r in arrays.values() for s in r]
     back, ahead = max([0, *(-s for s in shifts)]), max([0, *shifts])
 
+    def added(framed: DataFrame, groups: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*groups).orderBy("t")
+
+        def at(source: str, shift: int) -> Column:
+            return F.lead(source, shift).over(w) if shift >= 0 else F.lag(source, -shift).over(w)
+
+        return framed.select(
+            "*",
+            *[at(source, shift).alias(name) for name, (source, shift) in columns.items()],
+            *[F.array(*[at(source, s) for s in shifts_]).alias(name) for name, (source, shifts_) in arrays.items()],
+        )
+
     if chunk_slots is None:
-        framed, groups = bars, list(keys)
-    else:
-        if max(back, ahead) > chunk_slots:
-            raise ValueError("chunk_slots must cover the largest shift")
-        framed, groups = _with_border_copies(bars, back, ahead, chunk_slots), [*keys, _CHUNK]
-    w = Window.partitionBy(*groups).orderBy("t")
-
-    def at(source: str, shift: int) -> Column:
-        return F.lead(source, shift).over(w) if shift >= 0 else F.lag(source, -shift).over(w)
-
-    out = framed.select(
-        "*",
-        *[at(source, shift).alias(name) for name, (source, shift) in columns.items()],
-        *[F.array(*[at(source, s) for s in shifts_]).alias(name) for name, (source, shifts_) in arrays.items()],
+        return added(bars, keys)
+    if max(back, ahead) > chunk_slots:
+        raise ValueError("chunk_slots must cover the largest shift")
+    groups = [*keys, _CHUNK]
+    chunk = F.floor(F.unix_seconds("t") / (STEP_SECONDS * chunk_slots)).cast("long")
+    chunked = bars.withColumn(_CHUNK, chunk)
+    in_order = Window.partitionBy(*groups).orderBy("t")
+    reach = back + ahead
+    # rows before and after within the chunk, as far as they matter
+    placed = added(chunked, groups).withColumns(
+        {
+            _BEFORE: F.row_number().over(in_order) - 1,
+            _AFTER: F.count(F.lit(1)).over(in_order.rowsBetween(1, max(1, reach))),
+        }
     )
-    if chunk_slots is not None:
-        out = out.where(F.col(_CHUNK) == F.col(_HOME)).drop(_CHUNK, _HOME)
-    return out
-
-
-def _with_border_copies(bars: DataFrame, back: int, ahead: int, chunk_slots: int) -> DataFrame:
-    slot = F.floor(F.unix_seconds("t") / STEP_SECONDS).cast("long")
-    place = F.pmod(slot, F.lit(chunk_slots))
-    home = F.col(_HOME)
-    to_next, to_previous = place >= chunk_slots - back, place < ahead
-    # Plain conditionals over array literals: they compile, unlike array filters.
-    wanted_by = (
-        F.when(to_next & to_previous, F.array(home, home + 1, home - 1))
-        .when(to_next, F.array(home, home + 1))
-        .when(to_previous, F.array(home, home - 1))
-        .otherwise(F.array(home))
-    )
-    tagged = bars.withColumn(_HOME, F.floor(slot / chunk_slots).cast("long"))
-    return tagged.withColumn(_CHUNK, F.explode(wanted_by))
+    helpers = [_CHUNK, _BEFORE, _AFTER]
+    border = (F.col(_BEFORE) < back) | (F.col(_AFTER) < ahead)
+    inside = placed.where(~border).drop(*helpers)
+    near = placed.where((F.col(_BEFORE) < reach) | (F.col(_AFTER) < reach)).select(*bars.columns, *helpers)
+    return inside.unionByName(added(near, keys).where(border).drop(*helpers))
 
 
 def lag_plan(params: Params) -> dict[str, tuple[str, int]]:
@@ -102,6 +100,12 @@ def with_lags_and_leads(bars: DataFrame, params: Params, keys: Sequence[str] = (
     return shifted(bars, keys, lag_plan(params), params.chunk_slots, lead_plan(params))
 
 
+def with_lags_and_times(bars: DataFrame, params: Params, lags: bool = True) -> DataFrame:
+    """Future values with the times of their rows, as ``by_time`` needs them; lags on demand."""
+    ahead = {**lead_plan(params), "next_t": ("t", params.horizons)}
+    return shifted(bars, ["asset"], lag_plan(params) if lags else {}, params.chunk_slots, ahead)
+
+
 def with_calendar(bars: DataFrame, params: Params) -> DataFrame:
     """Local hour and weekday (Monday = 0)."""
     return bars.withColumns(
@@ -116,6 +120,20 @@ def lag_columns_of(feature: str, params: Params) -> list[Column]:
     return [F.col(f"{feature}_lag{k}").alias(f"f_lag{k}") for k in params.lags]
 
 
+def by_time(frame: DataFrame, params: Params, prefix: str) -> DataFrame:
+    """Let ``<prefix>_<feature>`` hold the value exactly h steps after ``t``, null where no row has that time.
+
+    Needs ``next_t``, the times of the rows ahead. On gap-free bars this changes nothing.
+    """
+    places = F.array(*[F.array_position("next_t", steps_after(F.col("t"), h)) for h in params.horizons])
+
+    def exact_values(name: str) -> Column:
+        return F.transform("_places", lambda p: F.get(F.col(name), (p - 1).cast("int")))
+
+    exact = {f"{prefix}_{f}": exact_values(f"{prefix}_{f}") for f in params.features}
+    return frame.withColumn("_places", places).withColumns(exact).drop("_places", "next_t")
+
+
 def complete_lags(params: Params) -> Column:
     """All lag columns are known."""
     condition = F.lit(True)

@@ -43,11 +43,34 @@ def test_chunk_must_cover_the_shifts(spark):
         windows.with_lags_and_leads(bars, Params(chunk_slots=5))
 
 
-def test_windows_never_group_by_asset_alone(spark):
-    bars = regular_bars(raw_ohlcv(spark, SF))
+@pytest.mark.parametrize("chunk", [16, 64, 4096])
+def test_chunks_do_not_matter_on_gapped_bars(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [r for r in series("A", "2024-01-01", [float(i) for i in range(58 * 58)])][::58]
+    rows += [r for r in series("B", "2024-01-01", [float(i) for i in range(900)]) if rng.random() < 0.2]
+    bars = spark.createDataFrame(rows, BARS)
+    params = Params(chunk_slots=chunk)
+    plain = windows.with_lags_and_leads(bars, params.with_(chunk_slots=None))
+    assert sorted(map(str, windows.with_lags_and_leads(bars, params).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_truth_is_matched_by_time(spark):
+    kept = [r for i, r in enumerate(series("A", "2024-01-01", [float(i) for i in range(12)])) if i not in (2, 3)]
+    bars = spark.createDataFrame(kept, BARS)
+    params = Params(horizon=4)
+    for p in (params, params.with_(chunk_slots=8)):
+        rows = windows.by_time(windows.with_lags_and_times(bars, p), p, "next").orderBy("t").collect()
+        assert rows[0]["next_close"] == [1.0, None, None, 4.0]
+        assert rows[1]["next_close"] == [None, None, 4.0, 5.0]
+        assert rows[-1]["next_close"] == [None] * 4
+
+
+def test_only_chunk_borders_are_grouped_by_asset_alone(spark):
+    bars = staged(regular_bars(raw_ohlcv(spark, SF)), "bars")
     plan = windows.with_lags_and_leads(bars, FIXTURE_PARAMS)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(asset" in line]
-    assert len(exchanges) == 1 and "_chunk" in exchanges[0]
+    whole = [line for line in exchanges if "_chunk" not in line]
+    assert len(whole) == 1 and len(exchanges) > 1
 
 
 def test_split_scope_resets_lags(spark):
