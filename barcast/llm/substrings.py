@@ -7,8 +7,10 @@ windows meet under one anchor. The bytes around those anchors are sorted per
 anchor: suffixes fall into buckets by their first q bytes, and buckets are refined by the
 bucket identifiers of later offsets; each pass uses the refined identifiers of
 the pass before, so depth doubles. At full depth a bucket with two suffixes is a repeated window.
-Anchors with very many occurrences are refined by Spark instead: their
-windows are grouped by the identifiers of their grams with map-side counts.
+Contexts that a text holds several times go on once, with the ranges that they
+cover there, so periodic text is as light as other text. Anchors with very
+many occurrences are refined by Spark instead: their windows are grouped by
+the identifiers of their bytes with map-side counts.
 """
 
 from __future__ import annotations
@@ -83,23 +85,60 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("at"), F.xxhash64("text").alias("text_hash"), "text")
 
 
+def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges joined where they touch."""
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate([[True], begins[1:] > ends[:-1]])
+    return begins[new], ends[np.concatenate([np.nonzero(new)[0][1:], [len(ends)]]) - 1]
+
+
+def text_anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[list[int], list[int], list[int], list, list]:
+    """(anchor, first window, last window, begins, ends) of the distinct contexts of a text.
+
+    A context is the bytes of an anchor's windows. Where a text holds one
+    several times, all of those windows are repeated: the context goes on once, with the
+    byte ranges that its occurrences cover; otherwise the ranges are null.
+    """
+    parts = list(anchors(data, length, gram))
+    if not parts:
+        return [], [], [], [], []
+    hashes, _, los, his = (np.concatenate(c) for c in zip(*parts))
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    begins: list = [None] * len(hashes)
+    ends: list = [None] * len(hashes)
+    again: dict[tuple[int, bytes], list[int]] = {}
+    for i in np.nonzero(counts[inverse] > 1)[0].tolist():
+        lo, hi = int(los[i]), int(his[i])
+        again.setdefault((hi - lo, data[lo : hi + length]), []).append(i)
+    stay = np.ones(len(hashes), dtype=bool)
+    for same in again.values():
+        if len(same) > 1:
+            stay[same[1:]] = False
+            b, e = merged(los[same], his[same] + length)
+            begins[same[0]], ends[same[0]] = b.tolist(), e.tolist()
+    kept = np.nonzero(stay)[0]
+    return hashes[kept].tolist(), los[kept].tolist(), his[kept].tolist(), [begins[i] for i in kept], [ends[i] for i in kept]
+
+
 def anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(at, text_hash, anchor, pos, lo, hi) of all anchors; windows lo..hi belong to the anchor at pos."""
+    """(at, text_hash, anchor, lo, hi, begins, ends) of the contexts of every text; windows lo..hi belong to the anchor."""
 
     def work(batches):
         for ids, hashes, texts in batches:
-            held, size = [], 0
+            held: list[list] = [[] for _ in range(7)]
             for at, text_hash, text in zip(ids, hashes, texts):
-                for anchor, pos, lo, hi in anchors((text or "").encode(), length, gram):
-                    held.append((np.full(len(pos), at), np.full(len(pos), text_hash), anchor, pos, lo, hi))
-                    size += len(pos)
-                    if size > 200_000:
-                        yield [np.concatenate(c).tolist() for c in zip(*held)]
-                        held, size = [], 0
-            if held:
-                yield [np.concatenate(c).tolist() for c in zip(*held)]
+                found = text_anchors((text or "").encode(), length, gram)
+                size = len(found[0])
+                for column, values in zip(held, ([at] * size, [text_hash] * size, *found)):
+                    column.extend(values)
+                if len(held[0]) > 200_000:
+                    yield held
+                    held = [[] for _ in range(7)]
+            if held[0]:
+                yield held
 
-    return map_lists(_keyed(docs), work, "at bigint, text_hash bigint, anchor bigint, pos bigint, lo bigint, hi bigint")
+    return map_lists(_keyed(docs), work, "at bigint, text_hash bigint, anchor bigint, lo bigint, hi bigint, begins array<bigint>, ends array<bigint>")
 
 
 def refined(data: np.ndarray, length: int, q: int = 8) -> np.ndarray:
@@ -161,12 +200,9 @@ def _spans(flags: np.ndarray, lo: int, length: int) -> Iterator[tuple[int, int]]
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(at, text_hash, begin, end) of byte ranges whose windows occur elsewhere too; ranges may overlap."""
     table = anchor_table(docs, length, gram)
-    counts = table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = (
-        table.join(counts, "anchor")
-        .groupBy("at", "text_hash")
-        .agg(F.collect_set(F.struct("anchor", "lo", "hi", (F.col("n") > hot).alias("hot"))).alias("places"))
-    )
+    counts = table.groupBy("anchor").agg(F.count("*").alias("n"), F.count("begins").alias("own")).where("n > 1 or own > 0")
+    place = F.struct("anchor", "lo", "hi", "begins", "ends", "n")
+    wanted = table.join(counts, "anchor").groupBy("at", "text_hash").agg(F.collect_set(place).alias("places"))
     joined = _keyed(docs).join(wanted, ["at", "text_hash"])
 
     def cut(batches):
@@ -183,7 +219,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 yield [list(c) for c in zip(*out)]
 
     def contexts(hot_ones: bool) -> DataFrame:
-        chosen = F.filter("places", lambda p: p["hot"] if hot_ones else ~p["hot"]).alias("places")
+        chosen = F.filter("places", lambda p: p["n"] > hot if hot_ones else (p["n"] > 1) & (p["n"] <= hot)).alias("places")
         some = joined.select("at", "text_hash", "text", chosen).where(F.size("places") > 0)
         return map_lists(some, cut, "anchor bigint, at bigint, text_hash bigint, lo bigint, windows int, bytes binary")
 
@@ -211,7 +247,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     cold = contexts(False).repartition("anchor").sortWithinPartitions("anchor")
     spans = map_lists(cold, sort, "at bigint, text_hash bigint, begin bigint, end bigint")
-    return spans.unionByName(_by_identifiers(contexts(True), length))
+    own = wanted.select("at", "text_hash", F.explode(F.filter("places", lambda p: p["begins"].isNotNull())).alias("p"))
+    own = own.select("at", "text_hash", F.explode(F.arrays_zip(F.col("p.begins").alias("begin"), F.col("p.ends").alias("end"))).alias("r"))
+    own = own.select("at", "text_hash", F.col("r")["begin"].alias("begin"), F.col("r")["end"].alias("end"))
+    return spans.unionByName(_by_identifiers(contexts(True), length)).unionByName(own)
 
 
 def _by_identifiers(contexts: DataFrame, length: int) -> DataFrame:

@@ -28,6 +28,8 @@ def fixture(length):
     rows = [(i, text(rng.randint(0, 200)) + rng.choice(passage)[rng.randint(0, 20) :] + text(rng.randint(0, 90))) for i in range(50)]
     rows += [(50, None), (51, ""), (52, "x" * 500), (53, "ab" * 300), (54, passage[0]), (54, passage[0]), (None, rows[3][1]), (55, text(length))]
     rows += [(56, text(4000) + passage[1] + text(2000) + passage[1])]
+    period = text(23)  # periodic runs of several lengths and phases, alone and between other bytes
+    rows += [(60 + i, text(i) + (period * 40)[i : 200 + 90 * i] + text(3 * i)) for i in range(5)] + [(65, text(61) * 9), (66, "x" * 700)]
     return rows
 
 
@@ -47,6 +49,14 @@ def test_standard_length(spark):
     assert sorted(str((r[0], r[1], r[2], r[3], bytes(r[4]))) for r in got.collect()) == brute(rows, 200)
 
 
+def test_own_repeats_go_on_once():
+    data = b"head" + b"a run of words " * 400 + b"tail"
+    anchor, lo, hi, begins, ends = substrings.text_anchors(data, 60, 16)
+    assert len(anchor) < 12
+    assert sum(1 for b in begins if b) == 1 and max(e[-1] for e in ends if e) > 5900
+    assert substrings.text_anchors(b"short", 60, 16) == ([], [], [], [], [])
+
+
 def test_chunks(monkeypatch):
     rng = random.Random(2)
     data = bytes(rng.choices(b"abc", k=5000))
