@@ -15,9 +15,10 @@ is the larger number.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
-from math import exp, log, log10
+from math import exp, inf, log, log1p, log10
 
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -96,62 +97,105 @@ def log_sum(terms: list[float]) -> float:
     return top + log(sum([exp(t - top) for t in terms]))
 
 
-def forward(word: str, pieces: Pieces) -> tuple[list[float], list[list[tuple[int, str, float]]]]:
-    """Log probability of reaching each end of the marked word, and the arcs (begin, piece, log weight) to it.
+def log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + log1p(exp(b - a))
 
-    The mark alone is always an arc and so are the bytes of any character, so each end is reached.
+
+class Lattice:
+    """The forward recursion over words given one after the other; what a word shares with the one before is kept.
+
+    In sorted words, each prefix is thus worked on once. With ``into``, the
+    expected (is first, piece) counts of all words are added to it, a position at a time as it is
+    left: the words that end behind a position share the arcs into it. The
+    mark alone is always an arc and so are the bytes of any character, so each
+    end is reached.
     """
-    marked = _MARK + word
-    size = len(marked)
-    steps: list[list[tuple[int, str, float]]] = [[] for _ in range(size)]
-    terms: list[list[float]] = [[] for _ in range(size)]
-    reached = [0.0]
-    node = pieces.first_trie
-    for begin in range(size):
-        if begin:
-            node, here = pieces.further_trie, log_sum(terms[begin - 1])
-            reached.append(here)
-        else:
-            here = 0.0
-        begun = node
-        for end in range(begin, size):
-            node = node.get(marked[end])
-            if node is None:
+
+    def __init__(self, pieces: Pieces, into: dict[tuple[bool, str], float] | None = None) -> None:
+        self.pieces, self.into = pieces, into
+        self.word = ""
+        self.reached = [0.0]  # log probability of reaching each position
+        self.behind = [-inf]  # log of the summed shares of the words' probabilities behind each position
+        self.open: list[list[tuple[int, dict]]] = []  # pieces begun: (begin, trie node) after each character
+        self.arcs: list[list[tuple[int, str, float]]] = []  # (begin, piece, log weight) into each position
+
+    def total(self, word: str) -> float:
+        """Log of the summed probability of all segmentations of the marked word."""
+        marked, shared = _MARK + word, 0
+        for old, new in zip(self.word, marked):
+            if old != new:
                 break
-            found = node.get(_STOP)
-            if found is not None:
-                steps[end].append((begin, *found))
-                terms[end].append(here + found[1])
-        if begin and _STOP not in begun.get(marked[begin], ()):  # its bytes, as one arc
-            names = [f"<0x{b:02X}>" for b in marked[begin].encode("utf-8", "replace")]
-            weight = sum(pieces.further[n] for n in names)
-            steps[begin].append((begin, " ".join(names), weight))
-            terms[begin].append(here + weight)
-    reached.append(log_sum(terms[-1]))
-    return reached, steps
-
-
-def word_log(word: bytes, pieces: Pieces) -> float:
+            shared += 1
+        self._leave(shared)
+        for at in range(shared, len(marked)):
+            self._extend(at, marked[at])
+        self.word = marked
+        return self.reached[-1]
+
+    def learn(self, word: str) -> None:
+        """Like ``total``, and counts the word's expected pieces."""
+        total = self.total(word)
+        before = self.behind[-1]
+        self.behind[-1] = -total if before == -inf else log_add(before, -total)
+        self.into[(False, _STOP)] = self.into.get((False, _STOP), 0.0) + 1.0
+
+    def close(self) -> None:
+        self._leave(0)
+        self.word = ""
+
+    def _extend(self, at: int, char: str) -> None:
+        live, arcs, terms = [], [], []
+        begun = self.pieces.further_trie if at else self.pieces.first_trie
+        for begin, node in [*self.open[-1], (at, begun)] if at else [(at, begun)]:
+            node = node.get(char)
+            if node is not None:
+                live.append((begin, node))
+                found = node.get(_STOP)
+                if found is not None:
+                    arcs.append((begin, *found))
+                    terms.append(self.reached[begin] + found[1])
+        if at and not (arcs and arcs[-1][0] == at):  # its bytes, as one arc
+            names = [f"<0x{b:02X}>" for b in char.encode("utf-8", "replace")]
+            weight = sum(self.pieces.further[n] for n in names)
+            arcs.append((at, " ".join(names), weight))
+            terms.append(self.reached[at] + weight)
+        self.open.append(live)
+        self.reached.append(log_sum(terms))
+        if self.into is not None:
+            self.arcs.append(arcs)
+            self.behind.append(-inf)
+
+    def _leave(self, size: int) -> None:
+        """Gives up all positions beyond ``size``."""
+        into, reached = self.into, self.reached
+        if into is not None:
+            while len(self.arcs) > size:
+                rest = self.behind.pop()
+                for begin, piece, weight in self.arcs.pop():
+                    step = weight + rest
+                    if begin:
+                        before = self.behind[begin]
+                        self.behind[begin] = step if before == -inf else log_add(before, step)
+                    share = exp(reached[begin] + step)
+                    for name in piece.split(" "):
+                        key = (begin == 0, name)
+                        into[key] = into.get(key, 0.0) + share
+        del reached[size + 1 :], self.open[size:]
+
+
+def word_log(word: bytes, pieces: Pieces, lattice: Lattice | None = None) -> float:
     """Natural log of the marginal probability of a word over all its segmentations."""
-    return forward(word.decode("utf-8", "replace"), pieces)[0][-1] + pieces.further[_STOP]
-
-
-def expected(word: bytes, pieces: Pieces, into: dict[tuple[bool, str], float]) -> None:
-    """Adds the expected pieces of a word (forward-backward)."""
-    reached, steps = forward(word.decode("utf-8", "replace"), pieces)
-    total = reached[-1]
-    behind: list[list[float]] = [[] for _ in reached]
-    behind[-1] = [0.0]
-    for end in range(len(steps), 0, -1):
-        if not behind[end]:
-            continue
-        rest = log_sum(behind[end])
-        for begin, piece, weight in steps[end - 1]:
-            behind[begin].append(rest + weight)
-            share = exp(reached[begin] + weight + rest - total)
-            for name in piece.split(" "):
-                into[(begin == 0, name)] = into.get((begin == 0, name), 0.0) + share
-    into[(False, _STOP)] = into.get((False, _STOP), 0.0) + 1.0
+    return (lattice or Lattice(pieces)).total(word.decode("utf-8", "replace")) + pieces.further[_STOP]
+
+
+def expected(words: Iterable[bytes], pieces: Pieces, into: dict[tuple[bool, str], float]) -> None:
+    """Adds the expected pieces of words (forward-backward); quickest where the words are sorted."""
+    lattice = Lattice(pieces, into)
+    for word in words:
+        lattice.learn(word.decode("utf-8", "replace"))
+    lattice.close()
 
 
 def word_counts(docs: DataFrame, training: str = "training") -> DataFrame:
@@ -178,12 +222,11 @@ def adapted(table: DataFrame, path: str) -> Pieces:
 
     def work(batches):
         counts: dict[tuple[bool, str], float] = {}
-        for (words,) in batches:
-            for word in words:
-                expected(word, pieces.value, counts)
+        expected((word for (words,) in batches for word in words), pieces.value, counts)
         yield [[f for f, _ in counts], [p for _, p in counts], list(counts.values())]
 
-    shares = map_lists(table.where("c > 0").select("word"), work, "first boolean, piece string, n double").groupBy("first", "piece").agg(F.sum("n").alias("n"))
+    words = table.where("c > 0").select("word").sortWithinPartitions("word")
+    shares = map_lists(words, work, "first boolean, piece string, n double").groupBy("first", "piece").agg(F.sum("n").alias("n"))
     # at most two numbers per vocabulary piece
     counts = {(r["first"], r["piece"]): r["n"] for r in shares.collect()}
     return Pieces.of({k: counts.get(k, 0.0) + w for k, w in begin.items()})
@@ -212,15 +255,16 @@ def scored(docs: DataFrame, path: str, divisor: int = 5, remainder: int = 1) ->
     mass = (DISCOUNT * sums["v"] / total) if sums["v"] else 1.0
 
     def each(batches):
+        shared = Lattice(pieces.value)
         for words, counts in batches:
             base = [log10((c + 0.5) / below) for c in counts]
             score = []
             for word, c in zip(words, counts):
-                lattice = word_log(word, pieces.value) + log(mass)
+                lattice = word_log(word, pieces.value, shared) + log(mass)
                 score.append((log_sum([lattice, log((c - DISCOUNT) / total)]) if c else lattice) / log(10))
             yield [words, [int(c > 0) for c in counts], base, score]
 
-    by_word = staged(map_lists(table.repartition("word"), each, "word binary, known int, base double, score double"), "words")
+    by_word = staged(map_lists(table.repartition("word").sortWithinPartitions("word"), each, "word binary, known int, base double, score double"), "words")
     frequent = table.where(F.col("c") >= FREQUENT * total).select("word")  # at most 1 / FREQUENT words
     rows = by_word.join(frequent, "word").collect()
     common = docs.sparkSession.sparkContext.broadcast({bytes(r["word"]): (r["known"], r["base"], r["score"]) for r in rows})

@@ -36,10 +36,44 @@ def test_weights_sum_to_one_and_long_word():
     assert isclose(sum(map(exp, PIECES.first.values())), 1) and isclose(sum(map(exp, PIECES.further.values())), 1)
     assert subwords.word_log(b"ab" * 20_000, PIECES) < -1000
     counts = {}
-    subwords.expected(b"therein", PIECES, counts)
+    subwords.expected([b"therein"], PIECES, counts)
     assert isclose(sum(c for (first, _), c in counts.items() if first), 1, rel_tol=1e-9)
 
 
+def test_shared_prefixes_change_nothing():
+    words = [b"", b"a", b"the", b"the", b"then", b"therein", "thé".encode(), "日本".encode(), b"there", b"x\xff\x00y"]
+    apart, together = {}, {}
+    for word in words:
+        subwords.expected([word], PIECES, apart)
+    lattice = subwords.Lattice(PIECES)
+    for order in (words, sorted(words)):
+        together = {}
+        subwords.expected(order, PIECES, together)
+        assert apart.keys() == together.keys() and all(isclose(apart[k], together[k], rel_tol=1e-9, abs_tol=1e-12) for k in apart)
+        assert [subwords.word_log(w, PIECES, lattice) for w in order] == [subwords.word_log(w, PIECES) for w in order]
+
+
+def test_expected_pieces_by_plain_recursion():
+    def cuts(text, first):
+        if not text:
+            return [[]]
+        own = PIECES.first if first else PIECES.further
+        return [[(first, text[:n]), *rest] for n in range(1, len(text) + 1) if text[:n] in own for rest in cuts(text[n:], False)]
+
+    weight = lambda cut: exp(sum((PIECES.first if f else PIECES.further)[p] for f, p in cut))
+    want = Counter()
+    for word in ("then", "there", "thing"):
+        found = cuts("▁" + word, True)
+        whole = sum(map(weight, found))
+        for cut in found:
+            for key in cut:
+                want[key] += weight(cut) / whole
+    counts = {}
+    subwords.expected([b"then", b"there", b"thing"], PIECES, counts)
+    assert counts.pop((False, "")) == 3
+    assert counts.keys() == want.keys() and all(isclose(counts[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def test_scores(spark):
     rows = [(i, f"The theme w{i} Then\tthe END x{i % 3}") for i in range(40)]
     rows += [(50, None), (51, ""), (None, "the é"), (52, " the"), (7, "again the"), (7, "again the"), (60, "the " * 3000)]
