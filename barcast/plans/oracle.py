@@ -120,17 +120,22 @@ pool AS (
     WINDOW w AS (PARTITION BY asset ORDER BY s))
   WHERE f_lag4 IS NOT NULL)"""
 
-ZSCORE = POOL + """,
+ZSCORE = POOL + ",\npool_long AS (" + " UNION ALL ".join(
+    f"""SELECT asset, split, s, f_lag1, f_lag2, f_lag3, f_lag4, '{f}' AS feature, "{f}" AS v,
+         row_number() OVER (PARTITION BY asset, split ORDER BY s) AS n FROM pool"""
+    for f in ("high", "low", "close", "volume")
+) + f"""),
 pstats AS (
-  SELECT asset, avg("close") AS m,
-         CASE WHEN stddev_samp("close") >= 1e-6 THEN stddev_samp("close") ELSE 1.0 END AS sd
-  FROM pool WHERE split = 'train' GROUP BY 1),
+  SELECT asset, feature, avg(v) AS m, CASE WHEN stddev_samp(v) >= 1e-6 THEN stddev_samp(v) ELSE 1.0 END AS sd
+  FROM pool_long WHERE split = 'train' GROUP BY 1, 2),
 target AS (
-  SELECT *, lead("close", 1) OVER (PARTITION BY asset, split ORDER BY s) AS y FROM pool),
+  SELECT a.*, h.horizon, b.v AS y
+  FROM pool_long a CROSS JOIN {HORIZONS} h CROSS JOIN pool_long b
+  WHERE b.asset = a.asset AND b.split = a.split AND b.feature = a.feature AND b.n = a.n + h.horizon),
 zrows AS (
-  SELECT asset, split, s, (f_lag1 - m) / sd AS f_lag1, (f_lag2 - m) / sd AS f_lag2, (f_lag3 - m) / sd AS f_lag3,
-         (f_lag4 - m) / sd AS f_lag4, (y - m) / sd AS y_norm, y, m, sd
-  FROM target JOIN pstats USING (asset) WHERE y IS NOT NULL)"""
+  SELECT asset, split, s, feature, horizon, (f_lag1 - m) / sd AS f_lag1, (f_lag2 - m) / sd AS f_lag2,
+         (f_lag3 - m) / sd AS f_lag3, (f_lag4 - m) / sd AS f_lag4, (y - m) / sd AS y_norm, y, m, sd
+  FROM target JOIN pstats USING (asset, feature) WHERE y IS NOT NULL)"""
 
 TRAIN_LONG = LONG + f",\ntrain AS (SELECT * FROM long WHERE s <= {VAL_CUT})"
 ACTIVITY = TRAIN_LONG + """,
@@ -264,7 +269,7 @@ last AS (SELECT asset, max(s) AS last_s FROM bars WHERE s <= {CUT} GROUP BY 1)
 SELECT asset, s AS origin_s, last_s AS last_train_s, "close" FROM bars JOIN last USING (asset)
 WHERE s >= last_s - 604800 AND s + 9000 <= last_s""",
         "eligible_assets": f"""WITH {RAW},
-slots AS (SELECT DISTINCT "ID" AS asset, "ExecutionTime" AS t FROM raw WHERE high > 20),
+slots AS (SELECT DISTINCT "ID" AS asset, "ExecutionTime" AS t FROM raw),
 sizes AS (
   SELECT asset, count(*) FILTER (WHERE epoch_us(t) <= {VAL_CUT}000000) AS n_train,
          count(*) FILTER (WHERE epoch_us(t) > {VAL_CUT}000000 AND epoch_us(t) <= {CUT}000000) AS n_val,
@@ -317,17 +322,17 @@ cal AS (SELECT *, {_hour('make_timestamp(s * 1000000)')} AS hour, {_dow('make_ti
             for c in ("f_lag1", "f_lag2", "f_lag3", "f_lag4", "hour", "dow")
         ),
         "zscore_features": f"""WITH {ZSCORE}
-SELECT asset, s AS t_s, round(f_lag1, 6) AS f_lag1, round(f_lag2, 6) AS f_lag2, round(f_lag3, 6) AS f_lag3,
+SELECT asset, s AS t_s, feature, horizon, round(f_lag1, 6) AS f_lag1, round(f_lag2, 6) AS f_lag2, round(f_lag3, 6) AS f_lag3,
        round(f_lag4, 6) AS f_lag4, round(y_norm, 6) AS y_norm FROM zrows""",
         "zscore_roundtrip": f"""WITH {ZSCORE}
-SELECT asset, split, count(*) AS n_rows, count(*) FILTER (WHERE abs(y_norm * sd + m - y) > 1e-9) AS n_off,
-       round(sum(y_norm * sd + m), 4) AS sum_back FROM zrows GROUP BY 1, 2""",
+SELECT asset, split, feature, horizon, count(*) AS n_rows, count(*) FILTER (WHERE abs(y_norm * sd + m - y) > 1e-9) AS n_off,
+       round(sum(y_norm * sd + m), 4) AS sum_back FROM zrows GROUP BY 1, 2, 3, 4""",
         "sample_weights": f"""WITH {ZSCORE}
-SELECT asset, split, round(sum(abs(y_norm) + 1e-6), 4) AS sum_weight, round(min(abs(y_norm) + 1e-6), 6) AS min_weight
-FROM zrows GROUP BY 1, 2""",
+SELECT asset, split, feature, horizon, round(sum(abs(y_norm) + 1e-6), 4) AS sum_weight, round(min(abs(y_norm) + 1e-6), 6) AS min_weight
+FROM zrows GROUP BY 1, 2, 3, 4""",
         "nonzero_labels": f"""WITH {ZSCORE}
-SELECT asset, split, count(*) AS n_rows, count(*) FILTER (WHERE abs(y_norm * sd + m) > 1e-8) AS n_nonzero
-FROM zrows GROUP BY 1, 2""",
+SELECT asset, split, feature, horizon, count(*) AS n_rows, count(*) FILTER (WHERE abs(y_norm * sd + m) > 1e-8) AS n_nonzero
+FROM zrows GROUP BY 1, 2, 3, 4""",
         "gate_and_threshold": f"""WITH {BARS},
 cal AS (SELECT *, {_hour('make_timestamp(s * 1000000)')} AS hour, {_dow('make_timestamp(s * 1000000)')} AS dow FROM bars),
 gated AS (

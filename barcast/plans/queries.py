@@ -6,6 +6,7 @@ Instants are returned as epoch numbers, so any engine compares them alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,8 +228,7 @@ def eval_origins(spark, sf_dir):
 
 def _uneven(spark, sf_dir):
     """Unfilled bars: series lengths differ, so the row gates have something to do."""
-    raw = raw_ohlcv(spark, sf_dir)
-    return clean.dedupe_last(raw.where(F.col("high") > 20))
+    return clean.dedupe_last(raw_ohlcv(spark, sf_dir))
 
 
 @query
@@ -381,32 +381,34 @@ def describe_features(spark, sf_dir):
     return found.select("column_name", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-def _normalised_close(spark, sf_dir):
-    bars = _stored_bars(spark, sf_dir)
-    frame = pooled.pooled_frame(bars, P).withColumn("y_close_1", F.col("next_close")[0])
-    found = stats.train_stats(frame.where("split = 'train'"), P)
-    return pooled.normalised_rows(
-        frame.select("asset", "t", "split", "hour", "dow", *P.lag_columns, "y_close_1"),
-        found,
-        "close",
-        P.lag_columns,
-        "y_close_1",
-    )
+def _normalised(spark, sf_dir):
+    """All targets (feature, horizon) with their lags, in units of the target's own series."""
+    frame = staged(pooled.pooled_frame(_stored_bars(spark, sf_dir), P), "pooled")
+    found = staged(stats.train_stats(frame.where("split = 'train'"), P), "stats")
+    parts = []
+    for feature in P.features:
+        targets = F.posexplode(f"next_{feature}").alias("place", "target")
+        rows = frame.select("asset", "t", "split", *P.lag_columns, targets).withColumns(
+            {"feature": F.lit(feature), "horizon": F.col("place") + 1}
+        )
+        mine = pooled.normalised_rows(rows.drop("place"), found, feature, P.lag_columns, "target")
+        parts.append(mine)
+    return reduce(DataFrame.unionByName, parts)
+
+
+_TARGET = ("asset", "split", "feature", "horizon")
 
 
 @query
 def zscore_features(spark, sf_dir):
-    rows = _normalised_close(spark, sf_dir)
-    return rows.select(
-        "asset", _sec("t", "t_s"), *[F.round(c, 6).alias(c) for c in (*P.lag_columns, "y_norm")]
-    )
+    rounded = [F.round(c, 6).alias(c) for c in (*P.lag_columns, "y_norm")]
+    return _normalised(spark, sf_dir).select("asset", _sec("t", "t_s"), "feature", "horizon", *rounded)
 
 
 @query
 def zscore_roundtrip(spark, sf_dir):
-    rows = _normalised_close(spark, sf_dir)
     back = denormalised(F.col("y_norm"), F.col("mean"), F.col("std"))
-    return rows.groupBy("asset", "split").agg(
+    return _normalised(spark, sf_dir).groupBy(*_TARGET).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.abs(back - F.col("y")) > 1e-9).alias("n_off"),
         F.round(F.sum(back), 4).alias("sum_back"),
@@ -415,18 +417,16 @@ def zscore_roundtrip(spark, sf_dir):
 
 @query
 def sample_weights(spark, sf_dir):
-    rows = _normalised_close(spark, sf_dir)
     weight = magnitude_weight(normalised(F.col("y"), F.col("mean"), F.col("std")))
-    return rows.groupBy("asset", "split").agg(
+    return _normalised(spark, sf_dir).groupBy(*_TARGET).agg(
         F.round(F.sum(weight), 4).alias("sum_weight"), F.round(F.min(weight), 6).alias("min_weight")
     )
 
 
 @query
 def nonzero_labels(spark, sf_dir):
-    rows = _normalised_close(spark, sf_dir)
     label = is_nonzero(denormalised(F.col("y_norm"), F.col("mean"), F.col("std")))
-    return rows.groupBy("asset", "split").agg(
+    return _normalised(spark, sf_dir).groupBy(*_TARGET).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(label).alias("n_nonzero")
     )
 
