@@ -154,12 +154,16 @@ def _codes(source: str, label: str) -> str:
 
 
 def _pooled_target(window: str) -> str:
-    fields = ", ".join(f'lead("close", {h}) OVER w' for h in range(1, HORIZON + 1))
+    def leads(column: str) -> str:
+        fields = ", ".join(f'lead("{column}", {h}) OVER w' for h in range(1, HORIZON + 1))
+        return f'unnest([{fields}]) AS "{column}"'
+
     return f"""WITH {POOL}
 SELECT * FROM (
-  SELECT asset, split, s AS t_s, unnest(range(1, {HORIZON + 1}))::INTEGER AS horizon, unnest([{fields}]) AS y
+  SELECT asset, split, s AS t_s, unnest(range(1, {HORIZON + 1}))::INTEGER AS horizon,
+         {", ".join(map(leads, ("high", "low", "close", "volume")))}
   FROM pool WINDOW w AS ({window}))
-WHERE y IS NOT NULL"""
+WHERE "close" IS NOT NULL"""
 
 
 def _profile(table: str, columns: list[tuple[str, str]]) -> str:
@@ -336,7 +340,7 @@ FROM zrows GROUP BY 1, 2, 3, 4""",
         "gate_and_threshold": f"""WITH {BARS},
 cal AS (SELECT *, {_hour('make_timestamp(s * 1000000)')} AS hour, {_dow('make_timestamp(s * 1000000)')} AS dow FROM bars),
 gated AS (
-  SELECT asset, s, CASE WHEN dow <> 6 AND hour / 23.0 < 0.5 THEN 0.0 ELSE "close" / 40000 END AS p FROM cal)
+  SELECT asset, s, CASE WHEN dow = 2 OR dow <> 6 AND hour / 23.0 < 0.5 THEN 0.0 ELSE "close" / 40000 END AS p FROM cal)
 SELECT asset, s AS t_s, round(CASE WHEN abs(p) < 1e-3 THEN 0.0 ELSE p END, 12) AS pred FROM gated""",
         "baseline_zero": f"""WITH {CELLS}
 SELECT asset, feature, origin_s, horizon, truth, 0.0::DOUBLE AS pred FROM cells""",

@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barcast.functions.measures import (
-    clamped,
     denormalised,
-    gated,
     is_nonzero,
     magnitude_weight,
     normalised,
@@ -325,21 +323,23 @@ def part_codes(spark, sf_dir):
     return ordering.asset_codes(labels)
 
 
+def _target_cells(rows: DataFrame) -> DataFrame:
+    futures = F.arrays_zip(*[F.col(f"next_{f}").alias(f) for f in P.features])
+    cells = rows.select("asset", "split", "t", F.posexplode(futures).alias("k", "y")).where("y.close is not null")
+    return cells.select("asset", "split", _sec("t", "t_s"), (F.col("k") + 1).alias("horizon"), "y.*")
+
+
 @query
 def pooled_target(spark, sf_dir):
-    """Targets of ``close`` that run on into the next series at a series end."""
+    """Targets of all features that run on into the next series at a series end."""
     frame = staged(pooled.pooled_frame(_stored_bars(spark, sf_dir), P), "pooled")
-    rows = pooled.run_on_targets(frame, P)
-    cells = rows.select("asset", "split", "t", F.posexplode("next_close").alias("k", "y")).where("y is not null")
-    return cells.select("asset", "split", _sec("t", "t_s"), (F.col("k") + 1).alias("horizon"), "y")
+    return _target_cells(pooled.run_on_targets(frame, P))
 
 
 @query
 def asset_target(spark, sf_dir):
-    """The other boundary: targets of ``close`` stop at the series end."""
-    rows = pooled.pooled_frame(_stored_bars(spark, sf_dir), P)
-    cells = rows.select("asset", "split", "t", F.posexplode("next_close").alias("k", "y")).where("y is not null")
-    return cells.select("asset", "split", _sec("t", "t_s"), (F.col("k") + 1).alias("horizon"), "y")
+    """The other boundary: targets stop at the series end."""
+    return _target_cells(pooled.pooled_frame(_stored_bars(spark, sf_dir), P))
 
 
 # --- statistics ------------------------------------------------------------
@@ -436,10 +436,11 @@ def nonzero_labels(spark, sf_dir):
 
 @query
 def gate_and_threshold(spark, sf_dir):
-    """Gate and clamp over every bar: close/40000 as forecast, hour/23 as probability, none on Sundays."""
+    """Missing model, gate and clamp over every bar: close/40000 as forecast, none on Wednesdays; hour/23 as probability, none on Sundays."""
     rows = windows.with_calendar(_bars(spark, sf_dir), P)
     chance = F.when(F.col("dow") != 6, F.col("hour") / 23)
-    pred = clamped(gated(F.col("close") / 40000, chance), P.pred_thresh)
+    raw = F.when(F.col("dow") != 2, F.col("close") / 40000)
+    pred = forecasts.post_processed(raw, chance, P)
     return rows.select("asset", _sec("t", "t_s"), F.round(pred, 12).alias("pred"))
 
 
