@@ -11,10 +11,6 @@ from barcast.config import Params
 from barcast.sources.bars import file_order
 
 
-# Largest capped choice that is fetched and written into the plan as a filter.
-_MAX_LITERALS = 10_000
-
-
 def distinct_assets(bars: DataFrame) -> DataFrame:
     return bars.select("asset").distinct()
 
@@ -51,15 +47,9 @@ def unknown_assets(bars: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def restricted(bars: DataFrame, params: Params, listed: DataFrame | None = None) -> DataFrame:
-    """Bars of the assets a job should run on.
-
-    A capped choice of moderate size becomes a literal filter, so that only the
-    chosen assets' folders are read; otherwise it is a semi join.
-    """
+    """Bars of the assets a job should run on, by a semi join with the choice."""
     cap = params.max_assets
     if listed is None and cap is None:
         return bars
     chosen = listed_assets(bars, listed, cap) if listed is not None else first_assets(bars, cap)
-    if cap is not None and cap <= _MAX_LITERALS:
-        return bars.where(F.col("asset").isin([r["asset"] for r in chosen.select("asset").collect()]))
-    return bars.join(chosen, "asset", "left_semi")
+    return bars.join(chosen.select("asset"), "asset", "left_semi")

@@ -194,8 +194,11 @@ def test_jobs_end_to_end(spark, tmp_path):
 
     assert csv("summary").count() == 6 and csv("baselines").count() == 6 * 4 * 2
     assert csv("models").groupBy("asset").count().count() == 2 and csv("models").count() == 4
-    assert csv("refit/results").count() == 3 * 2 and csv("refit/worst_assets").count() == 3
+    # the last run's assets are scored; forecasts of the run before stay stored
+    assert csv("refit/results").count() == 1 * 2 and csv("refit/worst_assets").count() == 1
     assert csv("refit/results_summary").count() == 2
+    stored = workflows.read_forecasts(spark, f"{tmp_path}/refit/forecasts")
+    assert {r["asset"] for r in stored.select("asset").distinct().collect()} == {"click", "dormant", "view"}
 
 
 def test_stream_summary_equals_batch(spark, tmp_path):
