@@ -232,17 +232,21 @@ def _shards(batches, at: int, test: TestSide, shard_words: int) -> Iterator[tupl
         yield columns, docs
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, window: int) -> list[Broadcast]:
-    """Test items in broadcast blocks, each of at most about ``block_bytes`` of text."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+
+
+def _block_count(items: DataFrame, block_bytes: int) -> int:
+    """Number of blocks of at most about ``block_bytes`` of text each."""
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-2 * total // block_bytes) if total > block_bytes else 1)
-    context = benchmark.sparkSession.sparkContext
-    held = []
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held.append(context.broadcast(test_side(sorted((r["item_id"] or "", r["text"]) for r in part.collect()), window)))
-    return held
+    return max(1, -(-2 * total // block_bytes) if total > block_bytes else 1)
+
+
+def _block(items: DataFrame, number: int, blocks: int, window: int) -> Broadcast:
+    """One block of the test items, broadcast."""
+    part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
+    side = test_side(sorted((r["item_id"] or "", r["text"]) for r in part.collect()), window)
+    return items.sparkSession.sparkContext.broadcast(side)
 
 
 def _schema(df: DataFrame) -> str:
@@ -258,26 +262,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     benchmark above ``block_bytes`` is searched block by block, each pass
     adding what it found to the rows.
     """
-    blocks = _blocks(benchmark, block_bytes, window)
+    items = _items(benchmark)
+    blocks = _block_count(items, block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.select("doc_id", "text")
-    if len(blocks) == 1:
-        return _verdict_pass(held, blocks[0], kind)
-    rows = held.select("doc_id", "text", F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for block in blocks:
-        rows = staged(_collect_pass(rows, block, kind), "contamination")
-    return _merged(rows, kind)
+    if blocks == 1:
+        return _verdict_pass(held, _block(items, 0, 1, window), kind)
+    return _merged(_searched(held, items, blocks, window), kind)
 
 
 def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _is_bad(size: int, hit: int) -> bool:
+    return hit > 0 and 20 * hit >= size
+
+
 _RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
 def _result(size: int, hit: int, items: set[str]) -> tuple:
-    return size, hit, len(items), _digest(list(items)), hit > 0 and 20 * hit >= size
+    return size, hit, len(items), _digest(list(items)), _is_bad(size, hit)
 
 
 def _verdict_pass(docs: DataFrame, block: Broadcast, kind: str) -> DataFrame:
@@ -291,59 +297,86 @@ def _verdict_pass(docs: DataFrame, block: Broadcast, kind: str) -> DataFrame:
     return map_lists(docs, work, f"doc_id {kind}, {_RESULT}")
 
 
-def _collect_pass(rows: DataFrame, block: Broadcast, kind: str) -> DataFrame:
-    """Adds the covered spans (begin, end, begin, end, ...) and the items of one block to the rows."""
+def _searched(docs: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """All columns of ``docs``, then the covered spans (begin, end, begin, end, ...) and the items of all blocks.
+
+    One block is on the driver and the executors at a time.
+    """
+    spans, found = (next(n for n in (name + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("_spans", "_found"))
+    rows = docs.select("*", F.lit(None).cast("array<int>").alias(spans), F.lit(None).cast("array<string>").alias(found))
+    for number in range(blocks):
+        block = _block(items, number, blocks, window)
+        rows = staged(_collect_pass(rows, block), "contamination")
+        block.destroy()
+    return rows
+
+
+def _collect_pass(rows: DataFrame, block: Broadcast) -> DataFrame:
+    """Adds the spans and the items of one block to the last two columns of the rows."""
+    at_text = rows.columns.index("text")
 
     def work(batches):
         test = block.value
-        for (ids, texts, spans, items), words in _shards(batches, 1, test, SHARD_WORDS):
+        for (*kept, spans, items), words in _shards(batches, at_text, test, SHARD_WORDS):
             shard = Shard(words, test)
             window, at = shard.places()
             doc = shard.document(at)
             begin = at - shard.starts[doc]
-            more: list[list[int]] = [[] for _ in ids]
+            more: list[list[int]] = [[] for _ in words]
             for d, b, e in zip(doc.tolist(), begin.tolist(), (begin + test.lengths[window]).tolist()):
                 more[d] += (b, e)
             _, found = shard.verdicts()
             yield [
-                ids,
-                texts,
+                *kept,
                 [(s or []) + m for s, m in zip(spans, more)],
                 [sorted({*(i or []), *(test.items[n] for n in f)}) for i, f in zip(items, found)],
             ]
 
-    return map_lists(rows, work, f"doc_id {kind}, text string, spans array<int>, items array<string>")
+    return map_lists(rows, work, _schema(rows))
+
+
+def _covered(spans: list[int]) -> int:
+    """Words within any of the spans."""
+    end = hit = 0
+    for low, high in sorted(zip(spans[::2], spans[1::2])):
+        hit += max(0, high - max(low, end))
+        end = max(end, high)
+    return hit
 
 
 def _merged(rows: DataFrame, kind: str) -> DataFrame:
     def work(batches):
         for ids, texts, spans, items in batches:
-            out = []
-            for text, flat, found in zip(texts, spans, items):
-                end = hit = 0
-                for low, high in sorted(zip(flat[::2], flat[1::2])):
-                    hit += max(0, high - max(low, end))
-                    end = max(end, high)
-                out.append(_result(len(words_of(text)), hit, set(found)))
+            out = [_result(len(words_of(text)), _covered(flat), set(found)) for text, flat, found in zip(texts, spans, items)]
             yield [ids, *(list(c) for c in zip(*out))]
 
     return map_lists(rows, work, f"doc_id {kind}, {_RESULT}")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    blocks = _blocks(benchmark, block_bytes, window)
+    """The rows of ``docs`` that are not contaminated, with all their columns; each row is judged by its own text."""
+    items = _items(benchmark)
+    blocks = _block_count(items, block_bytes)
     at, schema = docs.columns.index("text"), _schema(docs)
-    if len(blocks) > 1:  # the verdicts of several passes are joined back by id and text
-        bad = contamination(docs, benchmark, window, block_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+
+    def without(columns: list[list], hits: list[int], sizes: list[int]) -> list[list]:
+        keep = [not _is_bad(n, h) for n, h in zip(sizes, hits)]
+        return [[v for v, k in zip(column, keep) if k] for column in columns]
+
+    if blocks > 1:
+
+        def merged(batches):
+            for *columns, spans, _ in batches:
+                yield without(columns, [_covered(s) for s in spans], [len(words_of(t)) for t in columns[at]])
+
+        return map_lists(_searched(docs, items, blocks, window), merged, schema)
+    block = _block(items, 0, 1, window)
 
     def work(batches):
-        test = blocks[0].value
+        test = block.value
         for columns, words in _shards(batches, at, test, SHARD_WORDS):
             hits, _ = Shard(words, test).verdicts()
-            keep = [not (h > 0 and 20 * h >= len(w)) for w, h in zip(words, hits.tolist())]
-            yield [[v for v, k in zip(column, keep) if k] for column in columns]
+            yield without(columns, hits.tolist(), [len(w) for w in words])
 
     return map_lists(docs, work, schema)
 
@@ -357,7 +390,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
     the longest, then the smallest (doc_id, position) of those, null ids last.
     """
     parts = None
-    for block in _blocks(benchmark, block_bytes, WINDOW):
+    items = _items(benchmark)
+    blocks = _block_count(items, block_bytes)
+    for number in range(blocks):
+        block = _block(items, number, blocks, WINDOW)
 
         def work(batches, block=block):
             test = block.value
@@ -367,6 +403,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
                     yield [list(c) for c in zip(*rows)]
 
         found = map_lists(docs.select(F.col("doc_id").cast("long"), "text"), work, "item_id string, word_offset int, length int, doc_id bigint, position int")
+        if blocks > 1:
+            found = staged(found, "matches")
+            block.destroy()
         parts = found if parts is None else parts.unionByName(found)
     best = F.max_by(F.struct("length", "doc_id", "position"), F.struct("length", -F.coalesce("doc_id", F.lit((1 << 62))), -F.col("position")))
     return parts.groupBy("item_id", "word_offset").agg(best.alias("b")).select("item_id", "word_offset", "b.length", "b.doc_id", "b.position")
