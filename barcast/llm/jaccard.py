@@ -163,6 +163,7 @@ def segment_rows(elements: np.ndarray, settings: Settings) -> tuple[np.ndarray,
 
 
 _LAST = (1 << 63) - 1  # stands for a null id
+_AT, _HASH = "_first_at", "_first_hash"  # columns while rows are chosen
 
 
 def set_table(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -411,15 +412,16 @@ def _grouped(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that come first in their component, with all their columns.
+    """One row of ``docs`` for each component, the first one, with all its columns.
 
     First is the smallest id (null last), then the smallest hash of the
-    text. Rows that repeat both id and text are one document and stay
-    together; rows without words are linked with nothing and stay.
+    text; of rows that repeat both one stays, whichever is met first. Rows
+    without words are linked with nothing and all stay.
     """
-    table, named = _grouped(docs, settings)
-    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select("first.at", "first.text_hash")
-    bare = table.where("n = 0").select("at", "text_hash").distinct()
-    kept = chosen.unionByName(bare).select(F.col("at").alias("_at"), F.col("text_hash").alias("_hash"))
-    here = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) == F.col("_at")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(kept, here, "left_semi")
+    _, named = _grouped(docs, settings)
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias(_AT), F.col("first.text_hash").alias(_HASH))
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(has_words).withColumns({_AT: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), _HASH: F.xxhash64("text")})
+    # copies collapse before the exchange that the join uses too
+    kept = keyed.dropDuplicates([_AT, _HASH]).join(chosen, [_AT, _HASH], "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where(~has_words))

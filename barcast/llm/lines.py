@@ -31,22 +31,22 @@ def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(_at, _hash, pos) of the windows that occur at a smaller (id, position) too."""
+    """(_at, _hash, pos) of the windows that occur at a smaller (id, position, hash of the text) too."""
     rows = windows(docs, width)
     repeated = (
         rows.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.min(F.struct("_at", "pos")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("_at", "pos", "_hash")).alias("first"))
         .where("n > 1")
         .select("h1", "h2", "first")
     )
-    return rows.join(repeated, ["h1", "h2"]).where(F.struct("_at", "pos") > F.col("first")).select("_at", "_hash", "pos")
+    return rows.join(repeated, ["h1", "h2"]).where(F.struct("_at", "pos", "_hash") > F.col("first")).select("_at", "_hash", "pos")
 
 
 def deduplicated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` with the lines of repeated windows removed from ``text``, plus ``n_lines`` and ``n_removed``.
 
-    The first occurrence by (doc_id, position) stays; a null id counts as the
-    largest. Texts with fewer lines than a window, empty and null texts stay as
+    The first occurrence by (doc_id, position, hash of the text) stays; a null id
+    counts as the largest. Texts with fewer lines than a window, empty and null texts stay as
     they are. Rows that repeat both id and text are one document and get the
     same result; a text whose lines are all removed becomes empty. Columns of
     ``docs`` named ``n_lines`` or ``n_removed`` are replaced, others are kept.
