@@ -305,7 +305,7 @@ def possible_links(rows: DataFrame, classes: DataFrame, settings: Settings) -> D
             for a, b in _close_pairs(names, sizes, probing, sketches, settings):
                 if forest.join(a, b):
                     edges.append((a, b))
-            if len(names) == 2 and not edges:
+            if len(names) == 2 and not edges and any(probing):  # without a probing side nothing was compared
                 if len(ruled_out) > SEEN:
                     ruled_out.clear()
                 ruled_out.add(pair)
