@@ -1,8 +1,8 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are the character n-grams of the words, within word borders. Those that
-speak for the label in the examples (log-likelihood ratio, share of toxic rows)
-make up the vocabulary. The inverted index holds the examples in blocks; each list has the
+tell the classes of the examples apart (log-likelihood ratio), whichever class
+they speak for, make up the vocabulary; vectors and cosines are over it. The inverted index holds the examples in blocks; each list has the
 largest weight per block, so whole blocks whose best possible cosine stays
 below the k-th best so far are skipped. What is left is computed exactly.
 """
@@ -27,8 +27,7 @@ MAX_WORD_CHARS = 64  # longer words are not remembered
 class Settings:
     per_class: int = 1_500  # bound on labelled rows of a class used as examples
     sizes: tuple[int, ...] = (4, 5, 6)
-    min_gain: float = 22.0  # log-likelihood ratio of a term; chance reaches it in 1 of 60,000 terms
-    min_share: float = 0.5  # of label 1 among all rows with the term
+    min_gain: float = 12.0  # log-likelihood ratio of a term; a term independent of the label reaches it in about 1 of 1,900 cases
     min_examples: int = 4  # examples a term must occur in
     max_terms: int = 20_000  # the strongest terms are kept
     neighbours: int = 15
@@ -151,13 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             both = list(yes.keys() | no.keys())
             yield [[g for g in both], [yes[g] for g in both], [no[g] for g in both]]
 
-    kinds = sample.groupBy("label").agg(F.count("*").alias("n"), F.first("weight").alias("weight")).collect()
-    (p, up), (n, down) = (next(((float(r["n"]), r["weight"]) for r in kinds if r["label"] == v), (0.0, 0.0)) for v in (1, 0))
+    kinds = {r["label"]: float(r["count"]) for r in sample.groupBy("label").count().collect()}
+    p, n = kinds.get(1, 0.0), kinds.get(0, 0.0)
     yes, no = F.col("yes").cast("double"), F.col("no").cast("double")
     part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / ((yes + no) * of / (p + n)))).otherwise(0.0)
     rest = lambda seen, of: F.when(of > seen, (of - seen) * F.log((of - seen) / ((p + n - yes - no) * of / (p + n)))).otherwise(0.0)
     gain = 2 * (part(yes, p) + part(no, n) + rest(yes, p) + rest(no, n))
-    share = yes * up / (yes * up + (no + 0.5) * down)
     strong = []
     if p and n:
         strong = (
@@ -166,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
             .where((yes + no >= settings.min_examples) & (yes + no < p + n))
             .withColumn("gain", gain)
-            .where((F.col("gain") >= settings.min_gain) & (share >= settings.min_share))
+            .where(F.col("gain") >= settings.min_gain)
             .orderBy(F.desc("gain"), "term")
             .limit(settings.max_terms)
             .select("term")
