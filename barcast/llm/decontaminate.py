@@ -3,9 +3,10 @@
 Documents are taken in shards of bounded length. A shard's words become numbers
 (words that no test item has become 0), and its suffixes that begin with a
 word pair of the benchmark, or with a test item of one word, are sorted. Each
-suffix of each test item is found by binary search: its neighbours give the
-longest verbatim match, and the run of suffixes that share its first words
-gives all places of a window. A document lies in one shard as a whole, so
+suffix of each test item is found by binary search in full order: its neighbours
+give the longest verbatim match. A window occurs where the match of its suffix is
+as long as the window, and the run of suffixes that share its words gives all
+its places. A document lies in one shard as a whole, so
 its verdict needs no shuffle.
 """
 
@@ -25,7 +26,7 @@ from barcast.llm.common import map_lists
 from barcast.session import staged
 
 WINDOW = 13
-DEPTH = 16  # words of a suffix that are sorted; longer matches are extended word by word
+DEPTH = 16  # words of a suffix that are compared at once
 SHARD_WORDS = 2_000_000
 BLOCK_BYTES = 8 << 20  # test text searched at once, and the bound on what is broadcast
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -117,10 +118,35 @@ class Shard:
         pair = np.nonzero(after[known])[0]
         begins[pair] |= _is_in(body[known[pair]] * (len(test.vocabulary) + 1) + after[known[pair]], test.pairs)
         suffixes = known[begins]
-        self.keys = self._keys(self.words, suffixes)
+        # no match goes on behind a word pair that the benchmark doesn't have
+        follows = np.zeros(len(body), dtype=bool)
+        follows[known[pair]] = _is_in(body[known[pair]] * (len(test.vocabulary) + 1) + after[known[pair]], test.pairs)
+        ends = np.nonzero(~follows)[0]
+        reach = ends[np.searchsorted(ends, suffixes)] - suffixes + 1
+        self.keys = self._keys(self.words, suffixes, reach)
         order = np.lexsort(self.keys[::-1])
-        self.array = suffixes[order]
+        self.array, self.reach = suffixes[order], reach[order]
         self.keys = [k[order] for k in self.keys]
+        self._sort_ties()
+
+    def _sort_ties(self) -> None:
+        """Puts suffixes with equal first words in order of their next ones, as far as a test item can reach."""
+        tied = np.arange(len(self.array))
+        changed = np.ones(len(tied), dtype=bool)
+        changed[1:] = np.any([k[1:] != k[:-1] for k in self.keys], axis=0)
+        depth, most = DEPTH, int(self.test.offset_at.max(initial=-1)) + 1
+        while depth < most and len(tied):
+            group = np.cumsum(changed) - 1
+            goes_on = np.bincount(group, self.reach[tied] > depth) > 0
+            held = ((np.bincount(group) > 1) & goes_on)[group]
+            tied, group = tied[held], group[held]
+            at, reach = self.array[tied], self.reach[tied]
+            keys = self._keys(self.words, at + depth, reach - depth)
+            order = np.lexsort((*keys[::-1], group))
+            self.array[tied], self.reach[tied] = at[order], reach[order]
+            changed = np.ones(len(tied), dtype=bool)
+            changed[1:] = np.any([k[order][1:] != k[order][:-1] for k in (group, *keys)], axis=0)
+            depth += DEPTH
 
     def _keys(self, words: np.ndarray, at: np.ndarray, lengths: np.ndarray | None = None, fill: int = 0) -> list[np.ndarray]:
         """The first DEPTH words from each position, packed three to a number; from ``lengths`` on ``fill``."""
@@ -128,36 +154,49 @@ class Shard:
         for low in range(0, DEPTH, 3):
             key = np.zeros(len(at), dtype=np.int64)
             for i in range(low, min(low + 3, DEPTH)):
-                word = words[at + i]
+                word = words[np.minimum(at + i, len(words) - 1)]
                 if lengths is not None:
                     word = np.where(i < lengths, word, fill)
                 key = (key << 21) | word
             keys.append(key)
         return keys
 
-    def _search(self, keys: list[np.ndarray]) -> np.ndarray:
-        """For each key the number of suffixes below it, by binary search."""
-        low = np.zeros(len(keys[0]), dtype=np.int64)
-        high = np.full(len(keys[0]), len(self.array), dtype=np.int64)
+    def _search(self, keys: list[np.ndarray], low=None, high=None, depth: int = 0, right: bool = False) -> np.ndarray:
+        """For each key the number of suffixes below it (``right``: or equal to it), by binary search.
+
+        The words from ``depth`` on are compared, between ``low`` and ``high``.
+        """
+        low = np.zeros(len(keys[0]), dtype=np.int64) if low is None else low
+        high = np.full(len(keys[0]), len(self.array), dtype=np.int64) if high is None else high
         while (open_ := low < high).any():
             mid = np.where(open_, (low + high) // 2, 0)
             below = np.zeros(len(low), dtype=bool)
             equal = np.ones(len(low), dtype=bool)
-            for own, key in zip(self.keys, keys):
-                value = own[mid] if len(own) else np.zeros(len(low), dtype=np.int64)
+            if depth:
+                values = self._keys(self.words, self.array[mid] + depth, self.reach[mid] - depth)
+            else:
+                values = [own[mid] for own in self.keys]
+            for value, key in zip(values, keys):
                 below |= equal & (value < key)
                 equal &= value == key
+            if right:
+                below |= equal
             low = np.where(open_ & below, mid + 1, low)
             high = np.where(open_ & ~below, mid, high)
         return low
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """(window, word position) of every occurrence of every window."""
+        """(window, word position) of every occurrence of the windows that the longest matches cover."""
         test = self.test
-        first = self._search(self._keys(test.words, test.windows, test.lengths))
-        last = self._search(self._keys(test.words, test.windows, test.lengths, (1 << 21) - 1))
+        suffixes, length, _ = self.matches()
+        reached = np.zeros(len(test.words), dtype=np.int64)
+        reached[suffixes] = length
+        present = np.nonzero(reached[test.windows] >= test.lengths)[0]
+        begin, size = test.windows[present], test.lengths[present]
+        first = self._search(self._keys(test.words, begin, size))
+        last = self._search(self._keys(test.words, begin, size, (1 << 21) - 1))
         counts = last - first
-        window = np.repeat(np.arange(len(counts)), counts)
+        window = np.repeat(present, counts)
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         return window, self.array[np.repeat(first, counts) + within]
 
@@ -178,18 +217,37 @@ class Shard:
             items[doc].update(self.test.window_items[found])
         return hits, [sorted(i) for i in items]
 
-    def longest(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item, offset, length, document, word position) of the longest match of each test suffix."""
-        if not len(self.array):
-            return
+    def _insertion(self, suffixes: np.ndarray) -> np.ndarray:
+        """For each test suffix its place among the sorted suffixes, by all its words."""
+        test = self.test
+        ends = np.nonzero(test.words == 0)[0]
+        left = ends[np.searchsorted(ends, suffixes)] - suffixes
+        keys = self._keys(test.words, suffixes, left)
+        at = self._search(keys)
+        open_, depth = np.nonzero(left > DEPTH)[0], DEPTH
+        low = at[open_]
+        high = self._search([k[open_] for k in keys], low, right=True)
+        while True:
+            goes_on = (low < high) & (left[open_] > depth)
+            open_, low, high = open_[goes_on], low[goes_on], high[goes_on]
+            if not len(open_):
+                return at
+            keys = self._keys(test.words, suffixes[open_] + depth, left[open_] - depth)
+            low = self._search(keys, low, high, depth)
+            high = self._search(keys, low, high, depth, right=True)
+            at[open_] = low
+            depth += DEPTH
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(test suffix, length, word position) of the longest match of each test suffix; position -1 without any."""
         test = self.test
-        suffixes = np.nonzero(test.item_at >= 0)[0]
-        at = self._search(self._keys(test.words, suffixes))
+        suffixes = np.nonzero(test.item_at >= 0)[0] if len(self.array) else np.zeros(0, dtype=np.int64)
+        at = self._insertion(suffixes)
         best = np.zeros(len(suffixes), dtype=np.int64)
         where = np.full(len(suffixes), -1, dtype=np.int64)
         for beside in (at, at - 1):
             valid = (beside >= 0) & (beside < len(self.array))
-            start = self.array[np.clip(beside, 0, len(self.array) - 1)]
+            start = self.array[np.clip(beside, 0, max(0, len(self.array) - 1))] if len(self.array) else beside
             length = np.zeros(len(suffixes), dtype=np.int64)
             open_ = np.nonzero(valid)[0]
             while len(open_):
@@ -198,6 +256,12 @@ class Shard:
                 length[open_] += 1
             better = (length > best) | ((length == best) & (length > 0) & (start < where))
             best, where = np.where(better, length, best), np.where(better, start, where)
+        return suffixes, best, where
+
+    def longest(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(item, offset, length, document, word position) of the longest match of each test suffix."""
+        test = self.test
+        suffixes, best, where = self.matches()
         alone = (test.offset_at[suffixes] == 0) & (test.words[suffixes + 1] == 0)
         found = np.nonzero((best > 1) | ((best > 0) & alone))[0]
         docs = self.document(where[found])
