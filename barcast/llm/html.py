@@ -4,9 +4,11 @@ A streaming parser turns a page into lines, one per block of running text, each
 with its text length, its number of tags and its path of open elements. Lines
 in elements that never hold the article (menus, headers and footers of the
 page, asides, forms, adverts, notices, comments, scripts) are boilerplate by
-kind. The smoothed ratio of text to tags splits the others in two clusters; the
-smallest container around the dense cluster's text is the content region, and
-every line of it that is not boilerplate by kind belongs to the text.
+kind. The smoothed ratio of text to tags splits the others in two clusters; lines
+of running text are dense however long the longest line is. The smallest
+container of all dense lines is the content region, and every line of it that is
+not boilerplate by kind belongs to the text. Where article and main elements hold
+most of the dense text, the dense lines outside them do not widen the region.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ MARKS = frozenset(
 )
 KEEPS = frozenset({"article", "main", "body", "html"})  # a mark on these does not make them boilerplate
 SIGMA = 1.0
+RUNNING = 40.0  # characters a tag from which a line is running text, whatever the other lines are
 
 
 @dataclass
@@ -169,17 +172,15 @@ def extract(html: str | None) -> str:
     if not plain:
         return ""
     lengths = np.array([len(line.text) for line in plain], dtype=float)
-    chosen = dense(smoothed(lengths / np.maximum(1, [line.tags for line in plain])))
-    # the smallest container that holds nearly all text of the dense lines
-    held: dict[int, float] = {}
-    for line, size, is_dense in zip(plain, lengths, chosen):
-        if is_dense:
-            for number in line.path:
-                held[number] = held.get(number, 0.0) + size
-    total = lengths[chosen].sum()
-    full = [n for n, size in held.items() if size >= 0.6 * total]
-    named = [n for n in full if parser.names[n] in ("article", "main")]
-    boxes = [n for n in full if parser.names[n] in BLOCKS and parser.names[n] not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt")]
+    ratios = smoothed(lengths / np.maximum(1, [line.tags for line in plain]))
+    found = [line for line, is_dense in zip(plain, dense(ratios) | (ratios >= RUNNING)) if is_dense]
+    marked = [line for line in found if any(parser.names[n] in ("article", "main") for n in line.path)]
+    if sum(len(line.text) for line in marked) >= 0.6 * sum(len(line.text) for line in found):
+        found = marked
+    # the smallest container that holds all dense lines
+    shared = set(found[0].path).intersection(*(line.path for line in found))
+    named = [n for n in shared if parser.names[n] in ("article", "main")]
+    boxes = [n for n in shared if parser.names[n] in BLOCKS and parser.names[n] not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt")]
     region = max(named or boxes, default=None)  # numbers grow inwards
     return "\n".join(line.text for line in plain if region is None or region in line.path)
 
