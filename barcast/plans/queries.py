@@ -551,6 +551,5 @@ def refit_models(spark, sf_dir):
 
 @query(name="pooled_eval")
 def pooled_models(spark, sf_dir):
-    """Shared model over all series, for the one-step close."""
-    quick = P.with_(pooled_rounds=20, pooled_gate_rounds=10, patience=5)
-    return pooled_eval(_stored_bars(spark, sf_dir), quick, features=("close",), horizons=[1])
+    """All 4 × 10 shared models over all series, with all their rounds."""
+    return pooled_eval(_stored_bars(spark, sf_dir), P)
