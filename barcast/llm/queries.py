@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barcast.llm import bpe, decontaminate, html, jaccard, lines, quality, subwords, substrings, syncmers, toxicity
+from barcast.llm import bpe, decontaminate, html, jaccard, lines, middle, quality, subwords, substrings, syncmers, toxicity
 from barcast.llm.common import table
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -58,6 +58,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity_scores,
@@ -70,4 +74,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeated_strings": repeated_strings,
         "op9_jaccard_join": jaccard_join,
         "op10_quality": quality_scores,
+        "op11_fill_in_middle": fill_in_middle,
     }

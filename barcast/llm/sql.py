@@ -50,9 +50,26 @@ FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
 
 
+_FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS x FROM documents),
+     u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+                  ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+     c AS (SELECT doc_id, text, w, len(w)::BIGINT AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+                  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                       WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+     p AS (SELECT doc_id, n, form, text, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(pre || mid || suf) AS restored_sha256
+FROM p
+"""
+
+
 def oracle() -> dict[str, str]:
     return {
         "op2_decontamination": _CONTAMINATION,
         "op5_line_dedup": _LINE_DEDUP,
         "op9_jaccard_join": _JACCARD,
+        "op11_fill_in_middle": _FILL_IN_MIDDLE,
     }
