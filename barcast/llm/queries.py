@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barcast.llm import bpe, decontaminate, html, jaccard, lines, middle, quality, subwords, substrings, syncmers, toxicity
+from barcast.llm import bpe, decontaminate, html, jaccard, lines, middle, quality, rules, spelling, subwords, substrings, syncmers, toxicity
 from barcast.llm.common import table
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -62,6 +62,14 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digest(table(spark, sf_dir, "documents"))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity_scores,
@@ -75,4 +83,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": jaccard_join,
         "op10_quality": quality_scores,
         "op11_fill_in_middle": fill_in_middle,
+        "op12_spelling_variants": spelling_variants,
+        "op13_quality_rules": quality_rules,
     }
