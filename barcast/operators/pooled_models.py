@@ -1,96 +1,189 @@
 """Shared models over the pooled frame: weighted boosted regression plus a zero gate.
 
-Fits run on ``pyspark.ml``, so the rows of all series stay distributed.
+Fits run on ``pyspark.ml``'s boosted trees, so the rows of all series stay
+distributed. One frame per feature holds the feature vector and the targets of all horizons and is kept in
+memory while its models are fitted; a model reads one target of it. ``pyspark.ml`` stops without patience, so the number
+of rounds is chosen afterwards, from the validation losses of all prefixes of a fitted ensemble.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from dataclasses import dataclass
+from math import ceil
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from barcast.config import MIN_POOLED_TRAIN_ROWS, MIN_POOLED_VAL_ROWS, Params
-from barcast.functions.measures import denormalised, gated, is_nonzero
+from barcast.functions.measures import denormalised, gated, is_nonzero, magnitude_weight, normalised
 from barcast.functions.scoring import smape
-from barcast.operators.boosting import boost, log_loss, squared_error
-from barcast.operators.pooled import normalised_rows, pooled_supervised
+from barcast.operators.pooled import pooled_supervised
 from barcast.operators.stats import train_stats
+from barcast.session import shared_root
 
-def _assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="x").transform(rows)
+# The learner settings that results are specified with, in terms
+# of depth-limited trees (2^5 leaves).
+LEARNING_RATE = 0.05
+_TREES = dict(featuresCol="x", maxDepth=5, maxBins=255, stepSize=LEARNING_RATE, minInstancesPerNode=20, seed=42, maxMemoryInMB=512, checkpointInterval=25)
+ROWS_PER_TASK = 200_000
+MAX_PARALLEL = 32  # models fitted at a time, at most
 
+RESULT = "feature string, horizon int, sMAPE double, sMAPE_gated double, rounds int, gate_rounds int"
 
-def score_one(frame: DataFrame, stats: DataFrame, params: Params, feature: str, h: int) -> DataFrame | None:
-    """(feature, horizon, sMAPE, sMAPE_gated, rounds, gate_rounds), or None when a row gate fails."""
-    lags = params.lag_columns
-    inputs = [*lags, "hour", "dow", "asset_code"]
-    target = f"y_{feature}_{h}"
-    source = frame
-    if params.lag_source == "own":
-        source = source.withColumns({f"f_lag{k}": F.col(f"{feature}_lag{k}") for k in params.lags})
-    rows = normalised_rows(
-        source.select("asset", "split", "hour", "dow", "asset_code", *lags, target), stats, feature, lags, target
+
+def best_prefix(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Rounds up to the best loss, and whether ``patience`` rounds without a better one ended the search."""
+    best = 0
+    for at, loss in enumerate(losses):
+        if at == 0 or loss < losses[best]:
+            best = at
+        elif at - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+@dataclass(frozen=True)
+class Fitted:
+    model: object
+    rounds: int
+    losses: list[float]
+
+
+def fitted(learner: GBTRegressor | GBTClassifier, train: DataFrame, val: DataFrame, rounds: int, patience: int) -> Fitted:
+    """The ensemble of the best number of rounds up to ``rounds``.
+
+    Rounds do not depend on later ones. So where ``rounds`` are many, a short
+    ensemble is tried first; it is enough if its best prefix lies ``patience`` rounds before its end.
+    """
+    loss = ["squared"] if isinstance(learner, GBTRegressor) else []
+    for tried in (rounds,) if rounds <= 5 * patience else (2 * patience, rounds):
+        model = learner.copy({learner.maxIter: tried}).fit(train)
+        losses = model.evaluateEachIteration(val, *loss)
+        best, ended = best_prefix(losses, patience)
+        if ended:
+            break
+    if best < len(losses):
+        model = learner.copy({learner.maxIter: best}).fit(train)
+    return Fitted(model, best, losses)
+
+
+def _with_stats(frame: DataFrame, stats: DataFrame, params: Params) -> DataFrame:
+    """``frame`` with the mean and spread of every feature of its series, by one join."""
+    wide = stats.groupBy("asset").agg(
+        *[F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"{c}_{f}") for f in params.features for c in ("mean", "std")]
     )
-    mean, std = F.col("mean"), F.col("std")
-    rows = rows.withColumn("nonzero", is_nonzero(denormalised(F.col("y_norm"), mean, std)).cast("double"))
-    rows = _assembled(rows, inputs).select("split", "x", "y", "y_norm", "weight", "nonzero", "mean", "std")
+    return frame.join(wide, "asset")
+
+
+def _target(feature: str, h: int) -> tuple[Column, Column, Column]:
+    """Target in own units, the same through normalising and back, and its row weight."""
+    mean, std = F.col(f"mean_{feature}"), F.col(f"std_{feature}")
+    norm = normalised(F.col(f"y_{feature}_{h}"), mean, std)
+    return norm, denormalised(norm, mean, std), magnitude_weight(norm)
+
+
+def pooled_rows(frame: DataFrame, stats: DataFrame, params: Params) -> DataFrame:
+    """(feature, horizon, n_train, n_val, n_nonzero, sum_weight): what each shared model is fitted on.
+
+    Rows without a target don't count. ``n_nonzero`` and ``sum_weight`` are over
+    the training rows. All models come from one aggregation of the stored frame.
+    """
     in_train, in_val = F.col("split") == "train", F.col("split") == "val"
-    sizes = rows.agg(
-        F.count_if(in_train).alias("n_train"),
-        F.count_if(in_val).alias("n_val"),
-        F.sum(F.when(in_train, F.col("nonzero"))).alias("n_nonzero"),
-    ).first()
-    if sizes["n_train"] < MIN_POOLED_TRAIN_ROWS or sizes["n_val"] < MIN_POOLED_VAL_ROWS:
-        return None
-
-    regression = boost(rows, squared_error("y_norm", "weight"), params.pooled_rounds, params.patience)
-    scored = regression.rows.withColumnRenamed("score", "pred_norm")
-    if 0 < sizes["n_nonzero"] < sizes["n_train"]:
-        # The gate boosts on top of the regression's rows, so no join is needed to combine them.
-        gate = boost(scored, log_loss("nonzero"), params.pooled_gate_rounds, params.patience)
-        scored = gate.rows.withColumn("p", 1.0 / (1.0 + F.exp(-F.col("score"))))
-    else:
-        gate, scored = None, scored.withColumn("p", F.lit(float(sizes["n_nonzero"] > 0)))
-    pred = denormalised(F.col("pred_norm"), mean, std)
-    row = (
-        scored.where(in_val)
-        .agg(smape(F.col("y"), pred).alias("sMAPE"), smape(F.col("y"), gated(pred, F.col("p"))).alias("sMAPE_gated"))
-        .first()
-    )
-    gate_rounds = gate.rounds if gate else 0
-    for done in filter(None, (regression, gate)):
-        done.release()
-    return frame.sparkSession.createDataFrame(
-        [(feature, h, row["sMAPE"], row["sMAPE_gated"], regression.rounds, gate_rounds)],
-        "feature string, horizon int, sMAPE double, sMAPE_gated double, rounds int, gate_rounds int",
+    found, rows = [], []
+    for f in params.features:
+        for h in params.horizons:
+            norm, back, weight = _target(f, h)
+            columns = {
+                "n_train": F.count(F.when(in_train, norm)),
+                "n_val": F.count(F.when(in_val, norm)),
+                "n_nonzero": F.coalesce(F.sum(F.when(in_train, is_nonzero(back))), F.lit(0)),
+                "sum_weight": F.coalesce(F.sum(F.when(in_train, weight)), F.lit(0.0)),
+            }
+            found += [c.alias(f"{name}_{f}_{h}") for name, c in columns.items()]
+            rows.append(F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), *[F.col(f"{name}_{f}_{h}").alias(name) for name in columns]))
+    return _with_stats(frame, stats, params).agg(*found).select(F.inline(F.array(*rows)))
+
+
+def feature_rows(frame: DataFrame, stats: DataFrame, params: Params, feature: str) -> DataFrame:
+    """(split, x, mean, std, y_1..y_H): inputs in units of the target feature's own series, targets of all horizons."""
+    mean, std = F.col(f"mean_{feature}"), F.col(f"std_{feature}")
+    lags = {f"f_lag{k}": F.col(f"f_lag{k}" if params.lag_source == "last" else f"{feature}_lag{k}") for k in params.lags}
+    rows = _with_stats(frame, stats, params).withColumns({name: normalised(c, mean, std) for name, c in lags.items()})
+    inputs = VectorAssembler(inputCols=[*lags, "hour", "dow", "asset_code"], outputCol="x").transform(rows)
+    targets = [F.col(f"y_{feature}_{h}").alias(f"y_{h}") for h in params.horizons]
+    return inputs.select("split", "x", mean.alias("mean"), std.alias("std"), *targets)
+
+
+def _model_rows(rows: DataFrame, h: int) -> DataFrame:
+    y, mean, std = F.col(f"y_{h}"), F.col("mean"), F.col("std")
+    norm = normalised(y, mean, std)
+    return rows.where(y.isNotNull()).select(
+        "split", "x", "mean", "std", y.alias("y"), norm.alias("y_norm"),
+        magnitude_weight(norm).alias("weight"),
+        is_nonzero(denormalised(norm, mean, std)).cast("double").alias("nonzero"),
     )
 
 
+def score_one(rows: DataFrame, size: Row, params: Params) -> tuple:
+    """One row of the result: ``rows`` are the feature's, ``size`` its row of ``pooled_rows``."""
+    mine = _model_rows(rows, size["horizon"])
+    train, val = mine.where("split = 'train'"), mine.where("split = 'val'")
+    learner = GBTRegressor(labelCol="y_norm", weightCol="weight", predictionCol="pred_norm", **_TREES)
+    regression = fitted(learner, train, val, params.pooled_rounds, params.patience)
+    scored, gate_rounds = regression.model.transform(val), 0
+    if 0 < size["n_nonzero"] < size["n_train"]:
+        gate = fitted(GBTClassifier(labelCol="nonzero", **_TREES), train, val, params.pooled_gate_rounds, params.patience)
+        scored, gate_rounds = gate.model.transform(scored), gate.rounds
+        chance = vector_to_array("probability")[1]
+    else:
+        chance = F.lit(float(size["n_nonzero"] > 0))
+    pred = denormalised(F.col("pred_norm"), F.col("mean"), F.col("std"))
+    found = scored.agg(smape(F.col("y"), pred).alias("open"), smape(F.col("y"), gated(pred, chance)).alias("gated")).first()
+    return size["feature"], size["horizon"], found["open"], found["gated"], regression.rounds, gate_rounds
+
+
 def pooled_eval(
     bars: DataFrame,
     params: Params,
     features: tuple[str, ...] | None = None,
     horizons: list[int] | None = None,
-    parallelism: int = 1,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Score one shared model per feature and horizon on the validation part.
 
     ``features`` and ``horizons`` choose which models to fit; all by default.
-    The frame holds every series in any case. ``parallelism`` is the number of
-    models fitted at a time, for frames that do not fill the cluster.
+    The frame holds every series in any case. Models with too few rows are left out; without any there
+    is an error. ``parallelism`` is the number of models fitted at a time; by default as
+    many as it takes for the frame's tasks to fill the session's cores.
     """
+    spark = bars.sparkSession
+    shared_root(spark)  # long boosting chains are cut in the shared folder
     frame = pooled_supervised(bars, params)
-    train = frame.where(F.col("split") == "train")
-    if train.isEmpty() or frame.where(F.col("split") == "val").isEmpty():
-        raise ValueError("not enough pooled train or validation rows")
-    stats = train_stats(train, params)
-    models = [(f, h) for f in features or params.features for h in horizons or params.horizons]
-    with ThreadPoolExecutor(parallelism) as pool:
-        tables = list(pool.map(lambda fh: score_one(frame, stats, params, *fh), models))
-    kept = [t for t in tables if t is not None]
-    if not kept:
+    stats = train_stats(frame.where(F.col("split") == "train"), params)
+    wanted = {(f, h) for f in features or params.features for h in horizons or params.horizons}
+    # at most features x horizons rows
+    sizes = [r for r in pooled_rows(frame, stats, params).collect() if (r["feature"], r["horizon"]) in wanted]
+    enough = [r for r in sizes if r["n_train"] >= MIN_POOLED_TRAIN_ROWS and r["n_val"] >= MIN_POOLED_VAL_ROWS]
+    if not enough:
         raise ValueError("no feature and horizon has enough pooled rows")
-    return reduce(DataFrame.unionByName, kept)
+    tasks = ceil(max(r["n_train"] + r["n_val"] for r in enough) / ROWS_PER_TASK)
+    # a small job waits for its scheduling most of the time, so more of them run at once than there are cores
+    at_once = parallelism or min(MAX_PARALLEL, max(1, 4 * spark.sparkContext.defaultParallelism // tasks))
+    names = list(dict.fromkeys(r["feature"] for r in enough))
+    together = max(1, at_once // len(params.horizons))  # features whose rows are held at a time
+    done: list[tuple] = []
+    for at in range(0, len(names), together):
+        held = {f: feature_rows(frame, stats, params, f).repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK) for f in names[at : at + together]}
+        for rows in held.values():
+            rows.count()  # filled once, before its models run side by side
+        with ThreadPoolExecutor(at_once) as pool:
+            done += pool.map(lambda size: score_one(held[size["feature"]], size, params), [r for r in enough if r["feature"] in held])
+        for rows in held.values():
+            rows.unpersist()
+    return spark.createDataFrame(done, RESULT)

@@ -153,16 +153,20 @@ def _codes(source: str, label: str) -> str:
     )
 
 
-def _pooled_target(window: str) -> str:
+def _pooled_leads(window: str) -> str:
     def leads(column: str) -> str:
         fields = ", ".join(f'lead("{column}", {h}) OVER w' for h in range(1, HORIZON + 1))
         return f'unnest([{fields}]) AS "{column}"'
 
+    return f"""SELECT asset, split, s AS t_s, unnest(range(1, {HORIZON + 1}))::INTEGER AS horizon,
+         {", ".join(map(leads, ("high", "low", "close", "volume")))}
+  FROM pool WINDOW w AS ({window})"""
+
+
+def _pooled_target(window: str) -> str:
     return f"""WITH {POOL}
 SELECT * FROM (
-  SELECT asset, split, s AS t_s, unnest(range(1, {HORIZON + 1}))::INTEGER AS horizon,
-         {", ".join(map(leads, ("high", "low", "close", "volume")))}
-  FROM pool WINDOW w AS ({window}))
+  {_pooled_leads(window)})
 WHERE "close" IS NOT NULL"""
 
 
@@ -337,6 +341,14 @@ FROM zrows GROUP BY 1, 2, 3, 4""",
         "nonzero_labels": f"""WITH {ZSCORE}
 SELECT asset, split, feature, horizon, count(*) AS n_rows, count(*) FILTER (WHERE abs(y_norm * sd + m) > 1e-8) AS n_nonzero
 FROM zrows GROUP BY 1, 2, 3, 4""",
+        "pooled_rows": f"""WITH {ZSCORE},
+shared AS (
+  SELECT asset, split, unnest(['high','low','close','volume']) AS feature, horizon, unnest([high, low, "close", volume]) AS y
+  FROM ({_pooled_leads("PARTITION BY split ORDER BY asset || '.parquet', s")}) WHERE "close" IS NOT NULL)
+SELECT feature, horizon, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val,
+       count(*) FILTER (WHERE split = 'train' AND abs((y - m) / sd * sd + m) > 1e-8) AS n_nonzero,
+       round(sum(abs((y - m) / sd) + 1e-6) FILTER (WHERE split = 'train'), 4) AS sum_weight
+FROM shared JOIN pstats USING (asset, feature) GROUP BY 1, 2""",
         "gate_and_threshold": f"""WITH {BARS},
 cal AS (SELECT *, {_hour('make_timestamp(s * 1000000)')} AS hour, {_dow('make_timestamp(s * 1000000)')} AS dow FROM bars),
 gated AS (

@@ -19,8 +19,8 @@ from barcast.functions.measures import (
 )
 from barcast.functions.scoring import smape
 from barcast.operators import clean, evaluation, forecasts, ordering, pooled, splits, stats, supervised, windows
+from barcast.operators import pooled_models as shared
 from barcast.operators.baselines import baseline_forecasts, baseline_results, truth_cells
-from barcast.operators.pooled_models import pooled_eval
 from barcast.operators.series_models import per_asset_eval, refit_forecasts
 from barcast.operators.summary import asset_summary, head_sample, table_profile
 from barcast.plans.fixture import FIXTURE_PARAMS as P
@@ -549,7 +549,15 @@ def refit_models(spark, sf_dir):
     )
 
 
+@query
+def pooled_rows(spark, sf_dir):
+    """Rows, non-zero targets and weights that each of the 4 × 10 shared models is fitted on."""
+    frame = pooled.pooled_supervised(_stored_bars(spark, sf_dir), P)
+    found = stats.train_stats(frame.where("split = 'train'"), P)
+    return shared.pooled_rows(frame, found, P).withColumn("sum_weight", F.round("sum_weight", 4))
+
+
 @query(name="pooled_eval")
 def pooled_models(spark, sf_dir):
     """All 4 × 10 shared models over all series, with all their rounds."""
-    return pooled_eval(_stored_bars(spark, sf_dir), P)
+    return shared.pooled_eval(_stored_bars(spark, sf_dir), P)

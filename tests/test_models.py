@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from barcast.config import Params
 from barcast.functions.scoring import smape
-from barcast.operators.boosting import boost, log_loss, squared_error
 from barcast.operators.clean import regular_bars
 from barcast.operators.evaluation import eval_summary, exact_median, forecast_eval, inactive_eval, worst_assets
 from barcast.operators.learner import Binning, balanced_logit, boosted_forecast, probability
-from barcast.operators.pooled_models import pooled_eval
+from barcast.operators.baselines import baseline_results
+from barcast.operators.pooled_models import best_prefix, fitted, pooled_eval
 from barcast.operators.series_models import per_asset_eval, refit_forecasts
 from barcast.plans.fixture import FIXTURE_PARAMS, raw_ohlcv
 from barcast.session import staged
@@ -34,10 +34,11 @@ P = Params(horizon=3, features=("close", "volume"), train_cutoff="2024-01-17T00:
 
 def test_per_asset_models_score_low_and_repeat(spark, learnable):
     found = per_asset_eval(learnable, P)
+    baseline = {(r["asset"], r["feature"], r["baseline"]): r["sMAPE"] for r in baseline_results(learnable, P).collect()}
     rows = found.collect()
     assert len(rows) == 3 * 2 * 3
     for r in rows:
-        assert r["sMAPE"] < 12.0 and r["n_val"] == 4 * 96 - r["horizon"]
+        assert r["sMAPE"] < baseline[r["asset"], r["feature"], "persistence"] and r["n_val"] == 4 * 96 - r["horizon"]
     again = {(r["asset"], r["feature"], r["horizon"]): r["sMAPE"] for r in per_asset_eval(learnable, P).collect()}
     assert again == {(r["asset"], r["feature"], r["horizon"]): r["sMAPE"] for r in rows}
 
@@ -90,12 +91,30 @@ def test_inactive_series_are_reported_with_zero_forecasts(spark):
     assert all((r["n_train"], r["n_val"]) == (1724 - r["horizon"], 672 - r["horizon"]) for r in rows)
 
 
-def test_pooled_models(spark, learnable):
-    quick = P.with_(pooled_rounds=8, pooled_gate_rounds=3, patience=3)
-    row = pooled_eval(learnable, quick, features=("close",), horizons=[1]).first()
-    assert 0 <= row["sMAPE"] < 60 and row["rounds"] == 8
-    # nothing is ever zero here, so the gate changes nothing
-    assert row["gate_rounds"] == 0 and row["sMAPE_gated"] == row["sMAPE"]
+def test_pooled_models_beat_the_baselines(spark, learnable):
+    """Rounds of every model lie within their bounds; on a learnable cycle the scores lie below both baselines."""
+    quick = P.with_(features=("close",), horizon=3, lag_source="own", boundary="asset", pooled_rounds=60, patience=5)
+    rows = pooled_eval(learnable, quick).collect()
+    assert [(r["feature"], r["horizon"]) for r in rows] == [("close", h) for h in (1, 2, 3)]
+    worst = {r["baseline"]: min(r["sMAPE"], 1e9) for r in baseline_results(learnable, quick).where("asset = 'A'").collect()}
+    for r in rows:
+        assert 1 <= r["rounds"] <= 60 and r["sMAPE"] < worst["persistence"] < worst["zero"]
+        # nothing is ever zero here, so the gate changes nothing
+        assert r["gate_rounds"] == 0 and r["sMAPE_gated"] == r["sMAPE"]
+
+
+def test_pooled_gate_on_sparse_series(spark):
+    rng = random.Random(1)
+    values = [(20 + rng.random() if (i // 4) % 24 >= 17 else 0.0) for i in range(2000)]
+    bars = staged(spark.createDataFrame(series("Z", "2024-01-01", values), BARS), "sparse")
+    row = pooled_eval(bars, P.with_(features=("close",), pooled_rounds=10, pooled_gate_rounds=10, patience=5), horizons=[1]).first()
+    assert row["gate_rounds"] > 0 and row["sMAPE_gated"] < row["sMAPE"]
+
+
+def test_best_prefix():
+    assert best_prefix([3.0, 2.0, 2.5, 1.0, 1.0, 4.0], 2) == (4, True)
+    assert best_prefix([3.0, 2.0, 2.5, 2.6, 1.0], 2) == (2, True)
+    assert best_prefix([3.0, 2.0, 1.0], 5) == (3, False)
 
 
 def test_own_lags_and_series_boundary(spark, learnable):
@@ -124,24 +143,29 @@ def _numeric_frame(spark):
     return VectorAssembler(inputCols=["a"], outputCol="x").transform(df)
 
 
+def _parts(rows):
+    return rows.where("split = 'train'"), rows.where("split = 'val'")
+
+
 def test_boosting_losses_fall_and_patience_stops(spark):
+    from pyspark.ml.regression import GBTRegressor
+
     rows = _numeric_frame(spark)
-    fitted = boost(rows, squared_error("y", "w"), 6, 3)
-    assert fitted.rounds == 6 and fitted.losses == sorted(fitted.losses, reverse=True)
-    assert fitted.rows.count() == 400
-    fitted.release()
+    learner = GBTRegressor(featuresCol="x", labelCol="y", weightCol="w", maxDepth=3, stepSize=0.5, seed=1)
+    learned = fitted(learner, *_parts(rows), 6, 3)
+    assert learned.losses == sorted(learned.losses, reverse=True) and learned.model.getNumTrees == learned.rounds
     noise = rows.withColumn("y", F.when(F.col("split") == "val", -F.col("y")).otherwise(F.col("y")))
-    stopped = boost(noise, squared_error("y", "w"), 20, 2)
-    assert stopped.rounds == 1 and len(stopped.losses) == 3
-    stopped.release()
+    stopped = fitted(learner, *_parts(noise), 20, 2)
+    assert stopped.rounds < 20 and stopped.model.getNumTrees == stopped.rounds and len(stopped.losses) == 4
 
 
-def test_boosted_log_loss_separates_classes(spark):
-    fitted = boost(_numeric_frame(spark), log_loss("label"), 5, 5)
-    assert fitted.losses[-1] < fitted.losses[0] < math.log(2)
-    wrong = fitted.rows.where((F.col("score") > 0) != (F.col("label") > 0.5)).count()
-    fitted.release()
-    assert wrong == 0
+def test_boosted_classes_separate(spark):
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = _numeric_frame(spark)
+    learned = fitted(GBTClassifier(featuresCol="x", labelCol="label", maxDepth=3, maxBins=64, seed=1), *_parts(rows), 5, 5)
+    assert learned.losses[-1] < learned.losses[0]
+    assert learned.model.transform(rows).where("prediction <> label").count() == 0
 
 
 def test_balanced_logit_is_at_its_optimum():

@@ -1,11 +1,24 @@
-"""The registered pooled query fits every model with the parameters' own rounds."""
+"""The whole pooled query: all models over the smallest tables, checked by what they must satisfy."""
 
-from barcast.plans import queries
+from barcast.plans.queries import P, registered
+from barcast.session import staged
+from conftest import SF
 
 
-def test_pooled_query_is_whole(monkeypatch):
-    called = []
-    monkeypatch.setattr(queries, "_stored_bars", lambda spark, sf_dir: "bars")
-    monkeypatch.setattr(queries, "pooled_eval", lambda *args, **kwargs: called.append((args, kwargs)))
-    queries.registered()["pooled_eval"](None, "sf")
-    assert called == [(("bars", queries.P), {})]
+def test_pooled_rows_gate_the_models(spark):
+    """Row counts of all models: one row less a step, and never more non-zero targets than rows."""
+    rows = registered()["pooled_rows"](spark, SF).collect()
+    assert {(r["feature"], r["horizon"]) for r in rows} == {(f, h) for f in P.features for h in P.horizons}
+    by_model = {(r["feature"], r["horizon"]): r for r in rows}
+    for (feature, h), r in by_model.items():
+        assert r["n_train"] == by_model[feature, 1]["n_train"] - (h - 1) and r["n_val"] == by_model[feature, 1]["n_val"] - (h - 1)
+        assert 0 < r["n_nonzero"] < r["n_train"] and r["sum_weight"] > 0
+
+
+def test_pooled_scores_are_whole(spark):
+    found = staged(registered()["pooled_eval"](spark, SF), "pooled_eval")
+    rows = found.collect()
+    assert len(rows) == len(P.features) * len(P.horizons) == found.select("feature", "horizon").distinct().count()
+    for r in rows:
+        assert 1 <= r["rounds"] <= P.pooled_rounds and 1 <= r["gate_rounds"] <= P.pooled_gate_rounds
+        assert 0 <= r["sMAPE_gated"] < r["sMAPE"] <= 200
