@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,36 +53,36 @@ def inactive_eval(bars: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, top: float) -> DataFrame:
-    """Exact median of ``value`` in [0, top] per key, without gathering a group in one task.
+def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median of ``value`` per key, without gathering a group or a bucket in one task.
 
-    Equal values are counted first; the value range is then cut into buckets,
-    so the middle ranks are located from bucket totals and only ordered within
-    a bucket.
+    Each middle rank (two of them where the count is even) keeps an interval of values. A pass counts
+    the interval's values in buckets, by partial aggregates, and goes on with the
+    bucket that holds the rank; it ends where a bucket has a single value, however many rows
+    have it. Nulls and NaN don't count, a key without values has no row; values must be finite.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.least(F.floor(F.col("_v") / top * _BUCKETS), F.lit(_BUCKETS - 1)))
-    )
-    by_bucket = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_bucket.select(
-        *keys,
-        "_b",
-        F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_start"),
-        F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    lower, upper = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = counted.join(starts, [*keys, "_b"]).withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
-    first = F.col("_end") - F.col("_n") + 1
-
-    def at(rank):
-        return F.max(F.when((first <= rank) & (rank <= F.col("_end")), F.col("_v")))
-
-    return ranked.groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias(f"median_{value}"))
+    rows = staged(df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")), "median_rows")
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    ranks = F.array(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))
+    state = staged(whole.select(*keys, F.posexplode(ranks).alias("_side", "_rank"), "_low", "_high"), "median_state")
+    found = []
+    while True:
+        found.append(state.where("_low = _high"))
+        open_ = state.where("_low < _high")
+        if open_.isEmpty():
+            break
+        share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        inside = rows.join(open_, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        buckets = (
+            inside.withColumn("_b", F.least(F.floor(share * _BUCKETS), F.lit(_BUCKETS - 1)))
+            .groupBy(*keys, "_side", "_rank", "_b")
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        )
+        end = F.sum("_n").over(Window.partitionBy(*keys, "_side").orderBy("_b"))
+        holds = (F.col("_rank") <= F.col("_end")) & (F.col("_rank") > F.col("_end") - F.col("_n"))
+        left = (F.col("_rank") - F.col("_end") + F.col("_n")).alias("_rank")
+        state = staged(buckets.withColumn("_end", end).where(holds).select(*keys, "_side", left, "_low", "_high"), "median_state")
+    return reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.avg("_low").alias(f"median_{value}"))
 
 
 def eval_summary(results: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def eval_summary(results: DataFrame) -> DataFrame:
         F.count("sMAPE").alias("n_assets"),
         F.sum("n").alias("n_rows"),
     )
-    return means.join(exact_median(results, keys, "sMAPE", 200.0), keys, "left")
+    return means.join(exact_median(results, keys, "sMAPE"), keys, "left")
 
 
 def worst_assets(results: DataFrame, n: int = 20) -> DataFrame:

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barcast.config import STEP_SECONDS, Params
 from barcast.functions.measures import magnitude_weight, normalised
-from barcast.functions.times import steps_after
 from barcast.operators.ordering import asset_codes, with_positions
 from barcast.operators.splits import eligible_assets, train_pool, with_split
 from barcast.operators.supervised import all_known
-from barcast.operators.windows import lag_plan, with_calendar, with_lags, with_lags_and_leads
+from barcast.operators.windows import lag_plan, lead_plan, shifted, with_calendar, with_lags
 from barcast.session import staged
 from barcast.sources.bars import file_order
 
 
+CHUNK_SLOTS = 4096  # where the parameters set no chunk size
+
+
 def pooled_lags(bars: DataFrame, params: Params) -> DataFrame:
     """Bars up to the cutoff with lags; rows with any missing value dropped."""
     rows = with_lags(train_pool(bars, params), params)
@@ -23,68 +25,80 @@ def pooled_lags(bars: DataFrame, params: Params) -> DataFrame:
 
 
 def pooled_frame(bars: DataFrame, params: Params) -> DataFrame:
-    """Pooled rows with lags, calendar, split and future values that stop at the split end."""
+    """Pooled rows with lags, calendar, split and future values that stop at the split end.
+
+    Future values count kept rows: rows with a missing value are dropped first,
+    and gaps between the rest don't matter.
+    """
     eligible = eligible_assets(train_pool(bars, params), params, "pooled").select("asset")
     pool = train_pool(bars, params).join(eligible, "asset", "left_semi")
-    rows = all_known(with_lags_and_leads(pool, params), [*params.features, *lag_plan(params)])
+    rows = all_known(with_lags(pool, params), [*params.features, *lag_plan(params)])
     rows = with_calendar(with_split(rows, params), params)
+    ahead = {**lead_plan(params), "next_t": ("t", params.horizons)}
+    led = shifted(rows, ["asset"], {}, params.chunk_slots, ahead)
     end = F.when(F.col("split") == "train", params.val_cutoff()).otherwise(params.cutoff())
-    return rows.withColumns(
-        {
-            f"next_{f}": F.array(
-                *[F.when(steps_after(F.col("t"), h) <= end, F.col(f"next_{f}")[h - 1]) for h in params.horizons]
-            )
-            for f in params.features
-        }
-    )
+    inside = {
+        f"next_{f}": F.array(*[F.when(F.col("next_t")[h - 1] <= end, F.col(f"next_{f}")[h - 1]) for h in params.horizons])
+        for f in params.features
+    }
+    return led.withColumns(inside).drop("next_t")
+
 
+def _chunk(params: Params) -> Column:
+    return F.floor(F.unix_seconds("t") / (STEP_SECONDS * (params.chunk_slots or CHUNK_SLOTS))).cast("long")
 
-def series_places(frame: DataFrame) -> DataFrame:
-    """(asset, split, first_t, start): where each series begins in the stacked split, in file-name order."""
-    def part(name: str) -> Column:
-        return F.col("split") == name
 
-    per_asset = frame.groupBy("asset").agg(
-        F.count_if(part("train")).alias("train"),
-        F.count_if(part("val")).alias("val"),
-        F.min(F.when(part("train"), F.col("t"))).alias("first_train"),
-        F.min(F.when(part("val"), F.col("t"))).alias("first_val"),
+def chunk_counts(frame: DataFrame, params: Params) -> DataFrame:
+    """(asset, split, chunk, rows): rows of each stretch of time of a series in a split."""
+    return frame.groupBy("asset", "split", _chunk(params).alias("chunk")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def series_places(counts: DataFrame) -> DataFrame:
+    """(asset, split, n, start): where each series begins in the stacked split, in file-name order, and its rows."""
+    per_asset = counts.groupBy("asset").agg(
+        *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("rows"))), F.lit(0)).alias(s) for s in ("train", "val")]
     )
     ranked = with_positions(per_asset, file_order(F.col("asset")), ["train", "val"], "places")
     both = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("split"), F.col(f"first_{s}").alias("first_t"), F.col(f"{s}_start").alias("start")
-            )
-            for s in ("train", "val")
-        ]
+        *[F.struct(F.lit(s).alias("split"), F.col(s).alias("n"), F.col(f"{s}_start").alias("start")) for s in ("train", "val")]
     )
-    return ranked.select("asset", F.inline(both)).where(F.col("first_t").isNotNull())
+    return ranked.select("asset", F.inline(both)).where("n > 0")
+
+
+def first_rows(frame: DataFrame, counts: DataFrame, params: Params) -> DataFrame:
+    """The first H rows of each series in a split with their ``rank``.
+
+    Counts of earlier chunks tell in which chunks they lie, so only those are ranked.
+    """
+    earlier = Window.partitionBy("asset", "split").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).where(F.col("before") < params.horizon)
+    near = frame.withColumn("chunk", _chunk(params)).join(begins.select("asset", "split", "chunk", "before"), ["asset", "split", "chunk"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("asset", "split", "chunk").orderBy("t")) - 1
+    return near.withColumn("rank", place).where(F.col("rank") < params.horizon)
 
 
 def run_on_targets(frame: DataFrame, params: Params) -> DataFrame:
-    """Let targets run on past a series end into the next series of the same split.
+    """Let targets run past a series end into the next series of the same split.
 
     Only the last H rows of a series need it and only the first H rows of a
     series can supply it, so the positional join is between two thin slices
-    (H rows per series each); all other rows pass through. ``frame`` should be
-    a stored table: it is read for the places, the slices and the body.
+    (H rows per series each); all other rows pass through. Places are counts of
+    rows, so gaps don't matter: a row among the last H knows how many rows follow. ``frame`` should be
+    a stored table: it is read for the counts, the slices and the body.
     """
-    places = series_places(frame)
-    horizon = params.horizon
-    probe = F.col(f"next_{params.features[0]}")[horizon - 1]
+    counts = staged(chunk_counts(frame, params), "chunk_counts")
+    places = series_places(counts)
+    probe = f"next_{params.features[0]}"
     tail_key = ["asset", "split", "t"]
-    index = ((F.unix_seconds("t") - F.unix_seconds("first_t")) / STEP_SECONDS).cast("long")
-
-    placed = frame.join(places, ["asset", "split"])
-    heads = placed.where(index < horizon).select(
-        "split", (F.col("start") + index).alias("target_pos"), *params.features
+    heads = first_rows(frame, counts, params).join(places, ["asset", "split"]).select(
+        "split", (F.col("start") + F.col("rank")).alias("target_pos"), *params.features
     )
-    tails = frame.where(probe.isNull())
+    tails = frame.where(F.col(probe)[params.horizon - 1].isNull())
+    follow = F.size(F.filter(probe, lambda v: v.isNotNull()))
     wanted = (
-        tails.select(*tail_key, F.transform(f"next_{params.features[0]}", lambda v: v.isNull()).alias("open"))
+        tails.select(*tail_key, F.transform(probe, lambda v: v.isNull()).alias("open"), follow.alias("follow"))
         .join(places, ["asset", "split"])
-        .select(*tail_key, (F.col("start") + index).alias("own_pos"), F.posexplode("open").alias("k", "is_open"))
+        .select(*tail_key, (F.col("start") + F.col("n") - 1 - F.col("follow")).alias("own_pos"), F.posexplode("open").alias("k", "is_open"))
         .where("is_open")
         .withColumn("target_pos", F.col("own_pos") + F.col("k") + 1)
     )
@@ -103,7 +117,7 @@ def run_on_targets(frame: DataFrame, params: Params) -> DataFrame:
             for f in params.features
         }
     )
-    return frame.where(probe.isNotNull()).unionByName(patched.select(*frame.columns))
+    return frame.where(F.col(probe)[params.horizon - 1].isNotNull()).unionByName(patched.select(*frame.columns))
 
 
 def pooled_supervised(bars: DataFrame, params: Params) -> DataFrame:

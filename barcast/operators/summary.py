@@ -32,6 +32,22 @@ def asset_summary(raw: DataFrame) -> DataFrame:
     return with_zero_share(grouped).orderBy("ID")
 
 
+def partial_summaries(raw: DataFrame, chunk: list[str]) -> DataFrame:
+    """The same aggregates per asset and chunk: small rows that can be stored and merged in any order."""
+    return raw.where(F.col("ID").isNotNull()).groupBy("ID", *chunk).agg(*summary_aggregates())
+
+
+def merged_summary(partials: DataFrame) -> DataFrame:
+    """The summary from partial ones, each of which counts once."""
+    merged = partials.groupBy("ID").agg(
+        F.sum("total_count").alias("total_count"),
+        F.sum("nonzero_count").alias("nonzero_count"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+    )
+    return with_zero_share(merged).orderBy("ID")
+
+
 def table_profile(df: DataFrame) -> DataFrame:
     """One row per column: position, type, row count, null count; one aggregation pass."""
     counts = df.agg(

@@ -6,6 +6,8 @@ share nothing with the Spark plans.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 HORIZON = 10
 CUT = 1_706_222_700  # 2024-01-25 23:45 Europe/Berlin
 VAL_CUT = CUT - 7 * 86_400
@@ -170,6 +172,15 @@ SELECT * FROM (
 WHERE "close" IS NOT NULL"""
 
 
+def _texts(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _older() -> str:
+    """Named references that count without a semicolon, longest first."""
+    return "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+
+
 def _profile(table: str, columns: list[tuple[str, str]]) -> str:
     rows = [
         f"SELECT {i}::INTEGER AS position, '{name}' AS column_name, '{kind}' AS column_type, "
@@ -226,6 +237,7 @@ SELECT "ID", seq, epoch_us("ExecutionTime") AS t_us, high, low, "close", volume
         "page_links": r"""WITH plain AS (
   SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
                                  '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g') AS html FROM pages),
+names AS (SELECT map(NAMED_KEYS, NAMED_VALUES) AS named),
 tags AS (
   SELECT page_id, regexp_extract_all(html, '(?i)<a[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS tags FROM plain),
 attrs AS (
@@ -237,14 +249,15 @@ links AS (
   FROM (SELECT page_id, list_filter(hrefs, lambda h: h IS NOT NULL) AS hrefs FROM attrs)),
 found AS (
   SELECT page_id, link_pos, list_aggregate(list_transform(
-           regexp_extract_all(trim(regexp_replace(attr, '(?i)^href\s*=\s*', ''), '"'''), '&#?\w+;|&|[^&]+'),
-           lambda p: CASE WHEN p SIMILAR TO '&#[0-9]+;' THEN chr(p[3:-2]::INTEGER)
-                          WHEN p SIMILAR TO '&#[xX][0-9a-fA-F]+;' THEN chr(('0x' || p[4:-2])::INTEGER)
-                          WHEN p = '&amp;' THEN '&' WHEN p = '&lt;' THEN '<' WHEN p = '&gt;' THEN '>'
-                          WHEN p = '&quot;' THEN '"' WHEN p = '&apos;' THEN '''' WHEN p = '&nbsp;' THEN chr(160)
-                          ELSE p END), 'string_agg', '') AS href
-  FROM links)
-SELECT page_id, link_pos, href, ends_with(href, '.parquet') AS is_match FROM found WHERE href <> ''""",
+           regexp_extract_all(trim(regexp_replace(attr, '(?i)^href\s*=\s*', ''), '"'''),
+                              '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|&|[^&]+'),
+           lambda p: CASE WHEN regexp_matches(p, '^&#[0-9]') THEN chr(rtrim(p[3:], ';')::INTEGER)
+                          WHEN regexp_matches(p, '^&#[xX]') THEN chr(('0x' || rtrim(p[4:], ';'))::INTEGER)
+                          WHEN p[1] = '&' THEN coalesce(named[p[2:]], named[regexp_extract(p[2:], '^(OLDER)')] || regexp_replace(p[2:], '^(OLDER)', ''), p)
+                          ELSE p END),
+           'string_agg', '') AS href
+  FROM links, names)
+SELECT page_id, link_pos, href, ends_with(href, '.parquet') AS is_match FROM found WHERE href <> ''""".replace("NAMED_KEYS", _texts(html5)).replace("NAMED_VALUES", _texts(html5.values())).replace("OLDER", _older()),
         "grid_bounds": f"""WITH {DEDUP}
 SELECT lo, hi, (SELECT count(DISTINCT "ID") FROM raw) AS n_assets, (hi - lo) // 900 + 1 AS n_slots FROM bounds""",
         "time_grid": f"""WITH {DEDUP}
@@ -349,6 +362,53 @@ SELECT feature, horizon, count(*) FILTER (WHERE split = 'train') AS n_train, cou
        count(*) FILTER (WHERE split = 'train' AND abs((y - m) / sd * sd + m) > 1e-8) AS n_nonzero,
        round(sum(abs((y - m) / sd) + 1e-6) FILTER (WHERE split = 'train'), 4) AS sum_weight
 FROM shared JOIN pstats USING (asset, feature) GROUP BY 1, 2""",
+        "skipped_files": f"""WITH {BARS}
+SELECT asset, count(*) AS n_rows, 'no readable footer' AS error, 2::BIGINT AS n_skipped FROM bars GROUP BY 1""",
+        "raw_by_id_roundtrip": f"""WITH {RAW}, twice AS (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE "close" IS NOT NULL)
+SELECT "ID", count(*) AS n_rows, count("close") AS n_close, round(sum(high), 4) AS sum_high FROM twice GROUP BY 1""",
+        "forecasts_csv": f"""WITH {FORECASTS}
+SELECT asset, feature, horizon, count(*) AS n_rows, round(sum(pred), 4) AS sum_pred FROM forecasts GROUP BY 1, 2, 3""",
+        "refit_partial": f"""WITH {FORECASTS}
+SELECT asset, feature, horizon, count(*) AS n_rows, count(truth) AS n_truth,
+       round(sum(CASE WHEN asset = 'view' THEN -1.0::DOUBLE ELSE pred END), 4) AS sum_pred
+FROM forecasts WHERE asset <> 'click' GROUP BY 1, 2, 3""",
+        "refit_cells": f"WITH {FORECASTS} SELECT asset, feature, origin_s, horizon, target_s, truth FROM forecasts",
+        "per_asset_rows": f"""WITH {SUPERVISED},
+activity AS (
+  SELECT asset, feature, avg(abs(v)) AS mean_abs, stddev_pop(v) AS std,
+         avg(CASE WHEN abs(v) > 1e-6 THEN 1.0::DOUBLE ELSE 0.0 END) AS nonzero_frac
+  FROM split_long WHERE split = 'train' GROUP BY 1, 2)
+SELECT asset, feature, horizon, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val
+FROM supervised JOIN activity USING (asset, feature) WHERE {ACTIVE} GROUP BY 1, 2, 3
+HAVING count(*) FILTER (WHERE split = 'train') >= 50 AND count(*) FILTER (WHERE split = 'val') >= 10""",
+        "lags_gapped": f"""WITH {DEDUP}
+SELECT asset, epoch_us(t) AS t_us, {LAGS} FROM dedup WINDOW w AS (PARTITION BY asset ORDER BY t)""",
+        "truth_gapped": f"""WITH {DEDUP},
+uneven AS (SELECT asset, epoch_us(t) AS us, high, low, "close", volume, {LAGS} FROM dedup WINDOW w AS (PARTITION BY asset ORDER BY t)),
+cells AS (
+  SELECT asset, us, f_lag1, f_lag2, f_lag3, f_lag4, unnest(['high','low','close','volume']) AS feature, unnest([high, low, "close", volume]) AS v FROM uneven)
+SELECT o.asset, o.feature, o.us AS origin_us, h.horizon, CASE WHEN abs(o.v) < 1e-3 THEN 0.0 ELSE o.v END AS pred, t.v AS truth
+FROM cells o CROSS JOIN {HORIZONS} h
+LEFT JOIN cells t ON t.asset = o.asset AND t.feature = o.feature AND t.us = o.us + 900000000::BIGINT * h.horizon
+WHERE o.us > {CUT}000000 AND o.f_lag1 IS NOT NULL AND o.f_lag2 IS NOT NULL AND o.f_lag3 IS NOT NULL AND o.f_lag4 IS NOT NULL""",
+        "pooled_target_gapped": f"""WITH {DEDUP},
+part AS (SELECT asset, epoch_us(t) AS us, high, low, "close", volume, {LAGS},
+                CASE WHEN epoch_us(t) <= {VAL_CUT}000000 THEN 'train' ELSE 'val' END AS split, count(*) OVER (PARTITION BY asset) AS n
+         FROM dedup WHERE epoch_us(t) <= {CUT}000000 WINDOW w AS (PARTITION BY asset ORDER BY t)),
+pool AS (SELECT *, us AS s FROM part
+         WHERE n >= 24 AND high + low + "close" + volume + f_lag1 + f_lag2 + f_lag3 + f_lag4 IS NOT NULL)
+SELECT asset, split, t_s AS t_us, horizon, high, low, "close", volume
+FROM ({_pooled_leads("PARTITION BY split ORDER BY asset || '.parquet', s")}) WHERE "close" IS NOT NULL""",
+        "median_skewed": """SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id,
+       round(median(CASE WHEN event_id % 2 = 0 THEN 50.0::DOUBLE ELSE value END), 6) AS median_value FROM events GROUP BY 1""",
+        "worst_assets_users": f"""WITH rows_ AS (
+  SELECT user_id::VARCHAR AS asset, CASE WHEN value >= 20 THEN value ELSE 0.0::DOUBLE END AS truth, ts, event_id FROM events),
+led AS (SELECT asset, truth, lag(truth) OVER (PARTITION BY asset ORDER BY ts, event_id) AS pred FROM rows_),
+scores AS (SELECT asset, {_smape('truth', 'pred')} AS m FROM led WHERE pred IS NOT NULL GROUP BY 1)
+SELECT asset, round(m, 6) AS "mean_sMAPE" FROM scores ORDER BY m DESC, asset LIMIT 20""",
+        "asset_summary_users": """SELECT user_id::VARCHAR AS "ID", count(*) AS total_count, count(*) FILTER (WHERE value >= 20) AS nonzero_count,
+       round(1.0 - count(*) FILTER (WHERE value >= 20)::DOUBLE / count(*), 9) AS fraction_zero,
+       epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1""",
         "gate_and_threshold": f"""WITH {BARS},
 cal AS (SELECT *, {_hour('make_timestamp(s * 1000000)')} AS hour, {_dow('make_timestamp(s * 1000000)')} AS dow FROM bars),
 gated AS (
@@ -385,4 +445,5 @@ SELECT asset, round(avg("sMAPE"), 6) AS "mean_sMAPE" FROM results GROUP BY 1 ORD
     }
     for name, (source, window) in plain_lags.items():
         out[name] = f"WITH {BARS} SELECT asset, s AS t_s, {LAGS} FROM {source} WINDOW w AS ({window})"
+    out["stream_summary"], out["results_csv"] = out["asset_summary"], out["baseline_results"]
     return out

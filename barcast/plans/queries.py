@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barcast.functions.measures import (
@@ -22,14 +22,16 @@ from barcast.operators import clean, evaluation, forecasts, ordering, pooled, sp
 from barcast.operators import pooled_models as shared
 from barcast.operators.baselines import baseline_forecasts, baseline_results, truth_cells
 from barcast.operators.series_models import per_asset_eval, refit_forecasts
-from barcast.operators.summary import asset_summary, head_sample, table_profile
+from barcast.operators.summary import asset_summary, head_sample, merged_summary, partial_summaries, table_profile
 from barcast.plans.fixture import FIXTURE_PARAMS as P
 from barcast.plans.fixture import raw_ohlcv, table
 from barcast.session import scratch_path, staged
 from barcast.sources import assets as asset_source
-from barcast.sources.bars import read_bars, write_bars
+from barcast.sources import sinks
+from barcast.sources.bars import bars_report, read_bars, write_bars
 from barcast.sources.pages import page_links
-from barcast.sources.raw import normalise_records, read_raw
+from barcast.sources.raw import RAW_SCHEMA, normalise_records, read_raw
+from barcast.streaming.summary import start_stored_summary, stored_summary, stream_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -110,11 +112,11 @@ def normalize_ts(spark, sf_dir):
 
 @query
 def bars_scan(spark, sf_dir):
-    """Stored bars read back with the asset from the folder name, filtered by time."""
-    path = scratch_path(spark, "bars_by_asset")
+    """Stored bars read back up to the cutoff, which chooses folders by month."""
+    path = scratch_path(spark, "stored_bars")
     write_bars(_bars(spark, sf_dir), path)
     return (
-        splits.train_pool(read_bars(spark, path), P)
+        splits.train_pool(read_bars(spark, path, until=P.cutoff()), P)
         .groupBy("asset")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.unix_seconds("t")).alias("last_s"))
     )
@@ -122,7 +124,7 @@ def bars_scan(spark, sf_dir):
 
 @query
 def bars_roundtrip(spark, sf_dir):
-    path = scratch_path(spark, "bars_by_asset")
+    path = scratch_path(spark, "stored_bars")
     write_bars(_bars(spark, sf_dir), path)
     return read_bars(spark, path).select("asset", _sec("t", "t_s"), *MEASURES)
 
@@ -166,6 +168,51 @@ def page_link_list(spark, sf_dir):
     return page_links(table(spark, sf_dir, "pages"), ".parquet").select("page_id", "link_pos", "href", "is_match")
 
 
+@query
+def skipped_files(spark, sf_dir):
+    """Bars of all readable files, beside two that are none: rows by asset, and what the report says."""
+    path = scratch_path(spark, "bars_with_broken_files")
+    write_bars(_bars(spark, sf_dir), path)
+    # text files among the data: every event as a line, in two files
+    table(spark, sf_dir, "events").select(F.concat_ws(",", "event_id", "value").alias("value")).repartition(2).write.mode("append").text(path)
+    report = bars_report(spark, path)
+    bad = report.where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n_skipped"))
+    kept = read_bars(spark, path, skip_corrupt=True, report=report).groupBy("asset").agg(F.count(F.lit(1)).alias("n_rows"))
+    return kept.join(bad)
+
+
+@query
+def raw_by_id_roundtrip(spark, sf_dir):
+    """Raw rows appended twice in folders by id, counted and summed from there."""
+    path, raw = scratch_path(spark, "raw_by_id"), raw_ohlcv(spark, sf_dir)
+    sinks.write_raw_by_id(raw, path)
+    sinks.write_raw_by_id(raw.where("close is not null"), path)
+    return spark.read.parquet(path).groupBy("ID").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("close").alias("n_close"), F.round(F.sum("high"), 4).alias("sum_high")
+    )
+
+
+@query
+def results_csv(spark, sf_dir):
+    """The baseline table written as CSV with a header and read back."""
+    path = scratch_path(spark, "results_csv")
+    sinks.write_results(baseline_results(_stored_bars(spark, sf_dir), P), path)
+    stored = spark.read.option("header", "true").schema("asset string, feature string, baseline string, sMAPE double").csv(path)
+    return stored.withColumn("sMAPE", F.round("sMAPE", 6))
+
+
+@query
+def forecasts_csv(spark, sf_dir):
+    """Forecasts appended to a CSV folder in two parts, counted from there."""
+    path, cells = scratch_path(spark, "forecasts_csv"), staged(_test_forecasts(spark, sf_dir), "forecasts")
+    sinks.append_forecasts(cells.where("asset = 'view'"), path)
+    sinks.append_forecasts(cells.where("asset <> 'view'"), path)
+    stored = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+    return stored.groupBy("asset", "feature", "horizon").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("pred"), 4).alias("sum_pred")
+    )
+
+
 # --- cleaning --------------------------------------------------------------
 
 
@@ -336,6 +383,29 @@ def pooled_target(spark, sf_dir):
     return _target_cells(pooled.run_on_targets(frame, P))
 
 
+@query
+def pooled_target_gapped(spark, sf_dir):
+    """Run-on targets over bars with gaps and missing values: steps count the kept rows."""
+    frame = staged(pooled.pooled_frame(staged(_uneven(spark, sf_dir), "uneven"), P), "pooled")
+    futures = F.arrays_zip(*[F.col(f"next_{f}").alias(f) for f in P.features])
+    rows = pooled.run_on_targets(frame, P)
+    cells = rows.select("asset", "split", "t", F.posexplode(futures).alias("k", "y")).where("y.close is not null")
+    return cells.select("asset", "split", _us("t", "t_us"), (F.col("k") + 1).alias("horizon"), "y.*")
+
+
+@query
+def truth_gapped(spark, sf_dir):
+    """Forecast cells over bars with gaps: the truth is that of the target's time, or missing."""
+    cells = forecasts.baseline_test_forecasts(staged(_uneven(spark, sf_dir), "uneven"), P, "persistence")
+    return cells.select("asset", "feature", _us("origin", "origin_us"), "horizon", "pred", F.col("true").alias("truth"))
+
+
+@query
+def lags_gapped(spark, sf_dir):
+    rows = windows.with_lags(_uneven(spark, sf_dir), P)
+    return rows.select("asset", _us("t", "t_us"), *P.lag_columns)
+
+
 @query
 def asset_target(spark, sf_dir):
     """The other boundary: targets stop at the series end."""
@@ -497,9 +567,12 @@ def baseline_results_table(spark, sf_dir):
     return found.withColumn("sMAPE", F.round("sMAPE", 6))
 
 
+def _test_forecasts(spark, sf_dir):
+    return forecasts.baseline_test_forecasts(_stored_bars(spark, sf_dir), P, "persistence")
+
+
 def _test_results(spark, sf_dir):
-    cells = forecasts.baseline_test_forecasts(_stored_bars(spark, sf_dir), P, "persistence")
-    return evaluation.forecast_eval(cells)
+    return evaluation.forecast_eval(_test_forecasts(spark, sf_dir))
 
 
 @query
@@ -526,6 +599,86 @@ def worst_assets(spark, sf_dir):
     return found.withColumn("mean_sMAPE", F.round("mean_sMAPE", 6))
 
 
+@query
+def median_skewed(spark, sf_dir):
+    """Exact medians of all event values by user, where a third of all rows belong to one and half of all values are equal."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id"))
+    value = F.when(F.col("event_id") % 2 == 0, F.lit(50.0)).otherwise(F.col("value"))
+    rows = table(spark, sf_dir, "events").select(user.alias("user_id"), value.alias("value"))
+    return evaluation.exact_median(rows, ["user_id"], "value").withColumn("median_value", F.round("median_value", 6))
+
+
+def _user_records(spark, sf_dir):
+    """A second source of raw records: one series per user, over all events."""
+    value = F.col("value")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("ID"), F.col("ts").cast("timestamp").alias("ExecutionTime"),
+        F.when(value >= 20, value).otherwise(0.0).alias("high"), F.when(value >= 20, value / 2).otherwise(0.0).alias("low"),
+        F.when(value >= 20, value * 0.75).otherwise(0.0).alias("close"), F.lit(0.0).alias("volume"), F.col("event_id").alias("seq"),
+    )
+
+
+@query
+def asset_summary_users(spark, sf_dir):
+    """The summary of every user's series from partial summaries stored by day."""
+    raw = _user_records(spark, sf_dir).withColumn("day", F.to_date("ExecutionTime"))
+    partials = staged(partial_summaries(raw, ["day"]), "partials")
+    return merged_summary(partials).select(
+        "ID", "total_count", "nonzero_count", F.round("fraction_zero", 9).alias("fraction_zero"),
+        _us("first_ts", "first_us"), _us("last_ts", "last_us"),
+    )
+
+
+@query
+def worst_assets_users(spark, sf_dir):
+    """The 20 users whose value the one before predicts worst."""
+    bars = _user_records(spark, sf_dir).select(F.col("ID").alias("asset"), F.col("ExecutionTime").alias("t"), "seq", "high", "close")
+    ordered = Window.partitionBy("asset").orderBy("t", "seq")
+    before = bars.select("asset", F.lit("high").alias("feature"), F.lit(1).alias("horizon"), F.lag("high").over(ordered).alias("pred"), F.col("high").alias("true"))
+    scored = evaluation.forecast_eval(before.where("pred is not null"))
+    return evaluation.worst_assets(scored).withColumn("mean_sMAPE", F.round("mean_sMAPE", 6))
+
+
+@query
+def stream_summary(spark, sf_dir):
+    """The running summary of raw files that arrive one by one, kept as a stored table."""
+    root = scratch_path(spark, "stream")
+    raw_ohlcv(spark, sf_dir).select(*RAW_SCHEMA.names).repartition(6).write.parquet(f"{root}/in")
+    stream = stream_raw(spark, f"{root}/in", files_per_batch=1)
+    start_stored_summary(stream, f"{root}/checkpoint", f"{root}/state", once=True, compact_every=4).awaitTermination()
+    return stored_summary(spark, f"{root}/state").select(
+        "ID", "total_count", "nonzero_count", F.round("fraction_zero", 9).alias("fraction_zero"),
+        _us("first_ts", "first_us"), _us("last_ts", "last_us"),
+    )
+
+
+@query
+def refit_partial(spark, sf_dir):
+    """Stored forecasts after a second run over two assets, one of which got none: others keep those of the first run."""
+    path, cells = scratch_path(spark, "forecast_runs"), staged(_test_forecasts(spark, sf_dir), "forecasts")
+    sinks.write_forecasts(cells, path)
+    chosen = spark.createDataFrame([("view",), ("click",)], "asset string")
+    sinks.write_forecasts(cells.where("asset = 'view'").withColumn("pred", F.lit(-1.0)), path, chosen)
+    return sinks.read_forecasts(spark, path).groupBy("asset", "feature", "horizon").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("true").alias("n_truth"), F.round(F.sum("pred"), 4).alias("sum_pred")
+    )
+
+
+@query
+def per_asset_rows(spark, sf_dir):
+    """What every model of an active series is fitted and scored on."""
+    bars = _stored_bars(spark, sf_dir)
+    active = staged(stats.activity_flags(_train(bars), P).where("is_active").select("asset", "feature"), "active")
+    return stats.eligible_models(supervised.validation_frame(bars, P), P).join(active, ["asset", "feature"], "left_semi")
+
+
+@query
+def refit_cells(spark, sf_dir):
+    """The cells that refitted models forecast: every test origin with its target's time and truth."""
+    cells = forecasts.baseline_test_forecasts(_stored_bars(spark, sf_dir), P, "zero")
+    return cells.select("asset", "feature", _sec("origin", "origin_s"), "horizon", _sec("target_time", "target_s"), F.col("true").alias("truth"))
+
+
 # --- models (no SQL counterpart) -------------------------------------------
 
 

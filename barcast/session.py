@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,8 +64,28 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_owner: ContextVar[str] = ContextVar("owner", default="")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Own the intermediate tables of a job: all that is stored inside the block is removed at its end.
+
+    Results that are still lazy must be written before that.
+    """
+    folder = f"{shared_root(spark)}/barcast/job-{uuid.uuid4().hex}"
+    token = _owner.set(folder)
+    try:
+        yield folder
+    finally:
+        _owner.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/barcast/{label}-{uuid.uuid4().hex}"
+    folder = _owner.get() or f"{shared_root(spark)}/barcast"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -14,6 +14,7 @@ from barcast.config import MEASURES
 from barcast.functions.measures import nan_to_null
 from barcast.functions.times import as_instant
 from barcast.session import prepare
+from barcast.sources.files import file_of_row, file_ordinals
 
 RAW_SCHEMA = T.StructType(
     [
@@ -27,8 +28,6 @@ RAW_SCHEMA = T.StructType(
 # ``seq`` packs (file number, row in file) into one long, so that "latest in
 # ingest order" is a fixed-width aggregate.
 _ROW_BITS = 40
-# Total length of file paths that may be broadcast (about a million files).
-_MAX_BROADCAST_PATHS = 128 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -37,22 +36,6 @@ class RawScan:
     skipped: list[str]
 
 
-def _plain_path(c):
-    # "file:///x" and "file:/x" name the same file
-    return F.regexp_replace(c, r"^([A-Za-z0-9+.-]+):/+", "$1:/")
-
-
-def _ordered_files(spark: SparkSession, df: DataFrame, first: int) -> tuple[DataFrame, int]:
-    """File → ordinal. Broadcast when the paths fit a fixed bound, otherwise joined as the optimizer sees fit."""
-    files = sorted(df.inputFiles())
-    table = spark.createDataFrame(
-        [(name, first + i) for i, name in enumerate(files)], "file_name string, file_ord long"
-    )
-    table = table.select(_plain_path(F.col("file_name")).alias("_file"), "file_ord")
-    small = sum(map(len, files)) <= _MAX_BROADCAST_PATHS
-    return (F.broadcast(table) if small else table), len(files)
-
-
 def normalise_records(df: DataFrame) -> DataFrame:
     """Typed raw columns; absent columns become nulls, NaN becomes null."""
     present = set(df.columns)
@@ -75,30 +58,27 @@ def normalise_records(df: DataFrame) -> DataFrame:
 def read_raw(spark: SparkSession, paths: list[str]) -> RawScan:
     """Scan Parquet inputs in the given order; inputs that do not exist are skipped and reported.
 
-    Adds ``file_ord``, ``row_index`` and their packed form ``seq``.
+    Adds ``file_ord``, ``row_index`` and their packed form ``seq``. Files are
+    ranked by executors; the optimizer joins the ranks by their true size.
     """
-    parts: list[DataFrame] = []
+    sources: list[tuple[int, str, DataFrame]] = []
     skipped: list[str] = []
-    n_files = 0
     prepare(spark)
-    for path in paths:
+    for number, path in enumerate(paths):
         try:
-            source = spark.read.parquet(path)
+            sources.append((number, path, spark.read.parquet(path)))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             skipped.append(path)
-            continue
-        files, count = _ordered_files(spark, source, n_files)
-        n_files += count
-        located = source.select(
-            *source.columns,
-            _plain_path(F.col("_metadata.file_path")).alias("_file"),
-            F.col("_metadata.row_index").alias("row_index"),
-        )
-        parts.append(normalise_records(located.join(files, "_file")))
-    if not parts:
+    if not sources:
         raise FileNotFoundError(f"no input found among {paths}")
+    ordinals = file_ordinals(spark, [(number, path) for number, path, _ in sources])
+    parts = []
+    for number, _, source in sources:
+        located = source.select(*source.columns, file_of_row().alias("_file"), F.col("_metadata.row_index").alias("row_index"))
+        mine = ordinals.where(F.col("input") == number).select(F.col("file").alias("_file"), "file_ord")
+        parts.append(normalise_records(located.join(mine, "_file")))
     records = reduce(DataFrame.unionByName, parts)
     packed = F.shiftleft(F.col("file_ord"), _ROW_BITS) + F.col("row_index")
     return RawScan(records.withColumn("seq", packed), skipped)

@@ -198,7 +198,16 @@ def test_exact_median_with_ties_and_even_counts(spark):
     groups = {k: [round(rng.random() * 200, 2) for _ in range(n)] + [0.0] * z for k, n, z in (("a", 501, 0), ("b", 300, 900), ("c", 40, 40), ("d", 1, 0))}
     rows = [(k, v) for k, vs in groups.items() for v in vs]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["median_v"] for r in exact_median(df, ["k"], "v", 200.0).collect()}
+    got = {r["k"]: r["median_v"] for r in exact_median(df, ["k"], "v").collect()}
+    assert got == {k: pytest.approx(float(np.median(vs))) for k, vs in groups.items()}
+
+
+def test_exact_median_over_uneven_values(spark):
+    """Values of very different size, negative ones, missing ones, and one value in half of the rows."""
+    rng = random.Random(6)
+    groups = {i: [rng.choice([1e-9, 7.0, 7.0, -1e6, 1e12]) * rng.random() if rng.random() < 0.5 else 7.0 for _ in range(rng.randint(1, 60))] for i in range(40)}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [(1, None), (2, float("nan")), (99, None)]
+    got = {r["k"]: r["median_v"] for r in exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
     assert got == {k: pytest.approx(float(np.median(vs))) for k, vs in groups.items()}
 
 
