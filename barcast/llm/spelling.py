@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
+from operator import ne
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ class Settings:
     min_count: int = 2
     ratio: int = 10  # a form occurs at least this many times as often
     drop_of: int = 31  # a run loses a letter where this divides its hash
-    groups: int = 8
-    top: int = 3
+    groups: int = 12
+    top: int = 4
     branch: int = 20_000
 
 
@@ -62,12 +63,17 @@ def vocabulary(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def one_edit(a: str, b: str) -> bool:
     """True if the words differ by exactly one inserted, deleted or replaced code point."""
-    if len(a) > len(b):
+    more = len(b) - len(a)
+    if not more:
+        return sum(map(ne, a, b)) == 1
+    if more < 0:
         a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
+    if abs(more) > 1:
         return False
-    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else a[at:] == b[at + 1 :]
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x != y:
+            return a[i:] == b[i + 1 :]
+    return True
 
 
 def counts(word: str, groups: int) -> list[int]:
