@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import sha256
 from struct import pack
@@ -24,10 +25,10 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from barcast.llm.common import map_lists, row_map
+from barcast.llm.common import map_lists
 
-MAX_STATES = 50_000  # moves are forgotten beyond this many states; results do not change
-MAX_WORDS = 150_000  # likewise for remembered words, and for pieces
+MAX_STATES = 150_000  # moves are forgotten beyond this many states; results do not change
+MAX_WORDS = 100_000  # words and pieces remembered in a generation; the one before is kept too
 MAX_WORD_CHARS = 64  # longer ones are not remembered
 DECODE_IDS = 8_192  # ids per step of the decoder
 
@@ -79,6 +80,11 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.forget()
 
+    def clear(self) -> None:
+        """Drop all that was learned from texts."""
+        self.pairs.clear()
+        self.forget()
+
     def forget(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
@@ -123,7 +129,7 @@ class Transducer:
                     key = before << 20 | token
                     apart = pairs.get(key)
                     if apart is None:
-                        if len(pairs) > 8 * self.max_states:
+                        if len(pairs) > 2 * self.max_states:
                             pairs.clear()
                         apart = pairs[key] = self._apart(before, token)
                     if not apart:
@@ -169,43 +175,56 @@ class Transducer:
         return out
 
 
+class Remembered:
+    """Packed ids by string, in two generations: what the older one still serves moves to the newer one."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def put(self, key: str, packed: bytes | None) -> None:
+        if len(key) <= MAX_WORD_CHARS:
+            if len(self.new) >= MAX_WORDS:
+                self.old, self.new = self.new, {}
+            self.new[key] = packed
+
+
 class Encoder:
     """Splits a text by the pattern and encodes each match separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, transducer: Transducer, pattern: str) -> None:
         # \s of the pattern is Unicode white space, without the separators 1C to 1F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.transducer = Transducer(ranks)
-        self.known: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # pieces of the generation before
+        self.transducer = transducer
+        self.words = Remembered()
+        self.pieces = Remembered()  # those that are not one word behind a space
+
+    def _packed(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode())
+        return pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        packed = self.older.get(piece)
+        packed = self.pieces.old.get(piece)
         if packed is None:
-            ids = self.transducer.encode(piece.encode())
-            packed = pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= MAX_WORD_CHARS:
-            if len(self.pieces) >= MAX_WORDS:
-                self.older, self.pieces = self.pieces, {}
-                return packed
-            self.pieces[piece] = packed
+            packed = self._packed(piece)
+        self.pieces.put(piece, packed)
         return packed
 
     def _pieces(self, text: str) -> bytes:
-        known, piece = self.pieces, self._piece
+        known, piece = self.pieces.new, self._piece
         return b"".join([known[p] if p in known else piece(p) for p in self.split.findall(text)])
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a word behind a space; None where the space may belong to other white space."""
-        if not word or word[0].isspace() or word[-1].isspace():
+        kept = self.words.new if word in self.words.new else self.words.old
+        if word in kept:
+            packed = kept[word]
+        elif not word or word[0].isspace() or word[-1].isspace():
             packed = None
         else:
-            packed = self._pieces(" " + word)
-        if len(word) <= MAX_WORD_CHARS:
-            if len(self.known) >= MAX_WORDS:
-                self.known.clear()
-            self.known[word] = packed
+            found = self.split.findall(" " + word)
+            packed = self._packed(found[0]) if len(found) == 1 else b"".join([self.pieces.new.get(p) or self._piece(p) for p in found])
+        self.words.put(word, packed)
         return packed
 
     def encode(self, text: str | None) -> bytes:
@@ -219,7 +238,7 @@ class Encoder:
         first, *words = text.split(" ")
         if not words or not first or first[-1].isspace():
             return self._pieces(text)
-        known, word = self.known, self._word
+        known, word = self.words.new, self._word
         packed = [known[w] if w in known else word(w) for w in words]
         if None in packed:
             return self._pieces(text)
@@ -266,9 +285,20 @@ def _ranks(path: str) -> dict[bytes, int]:
     return read_ranks(path)
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(_ranks(path), pattern)
+@lru_cache(maxsize=1)
+def _transducer(path: str) -> Transducer:
+    """The trie and the edges of all tokens: made once per worker, of fixed size."""
+    return Transducer(_ranks(path))
+
+
+@contextmanager
+def _encoder(path: str, pattern: str) -> Iterator[Encoder]:
+    """An encoder for one task; what it remembers, and all states and moves, go at the end."""
+    transducer = _transducer(path)
+    try:
+        yield Encoder(transducer, pattern)
+    finally:
+        transducer.clear()
 
 
 def _tokens(path: str) -> list[bytes]:
@@ -287,17 +317,14 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     executor (it belongs to an installed package).
     """
 
-    def start():
-        encoder = _encoder(path, pattern)
-
-        def one(doc_id, text):
-            packed = encoder.encode(text)
-            return doc_id, len(packed) // 4, packed
-
-        return one
+    def work(batches):
+        with _encoder(path, pattern) as encoder:
+            for ids, texts in batches:
+                packed = [encoder.encode(t) for t in texts]
+                yield [ids, [len(p) // 4 for p in packed], packed]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return row_map(docs.select("doc_id", "text"), start, f"doc_id {kind}, n_tokens bigint, ids binary")
+    return map_lists(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -316,21 +343,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of encoding each text and decoding the ids again, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of encoding each text and decoding the ids again, in one pass.
 
-    def start():
-        encoder, tokens = _encoder(path, pattern), _tokens(path)
+    One row per row of ``docs``. A null or empty text has no ids and the digests of nothing; rows
+    with equal or null ids are worked on each for itself, and columns other than ``doc_id`` and ``text`` are ignored.
+    """
 
-        def one(doc_id, text):
-            packed = encoder.encode(text)
-            decoded = sha256()
-            for part in decode_steps(np.frombuffer(packed, dtype="<u4"), tokens):
-                decoded.update(part.encode())
-            row = (doc_id, len(packed) // 4, sha256(packed).hexdigest(), decoded.hexdigest())
-            return (*row, packed) if with_ids else row
+    def decoded_hash(packed: bytes, tokens: list[bytes]) -> str:
+        decoded = sha256()
+        for part in decode_steps(np.frombuffer(packed, dtype="<u4"), tokens):
+            decoded.update(part.encode())
+        return decoded.hexdigest()
 
-        return one
+    def work(batches):
+        tokens = _tokens(path)
+        with _encoder(path, pattern) as encoder:
+            for ids, texts in batches:
+                packed = [encoder.encode(t) for t in texts]
+                out = [ids, [len(p) // 4 for p in packed], [sha256(p).hexdigest() for p in packed], [decoded_hash(p, tokens) for p in packed]]
+                yield [*out, packed] if with_ids else out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return row_map(docs.select("doc_id", "text"), start, schema + ", ids binary" * with_ids)
+    return map_lists(docs.select("doc_id", "text"), work, schema + ", ids binary" * with_ids)

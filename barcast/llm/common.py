@@ -11,14 +11,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 Lists = list[list]
+SLICE_BYTES = 4 << 20  # rows turned into Python values at a time, one row at least
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``SLICE_BYTES``, in order: Python values of long texts take several times their bytes."""
+    if batch.nbytes <= SLICE_BYTES or batch.num_rows < 2:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from sliced(batch.slice(0, half))
+        yield from sliced(batch.slice(half))
+
+
 def map_lists(df: DataFrame, work: Callable[[Iterator[Lists]], Iterable[Lists]], schema: str) -> DataFrame:
-    """One Arrow pass: ``work`` gets the columns of each batch as lists and yields output columns as lists.
+    """One Arrow pass: ``work`` gets the columns of each slice of a batch as lists and yields output columns as lists.
 
     ``work`` runs once per task, so what it sets up before its first batch is
     shared by all rows of the task.
@@ -26,7 +37,7 @@ def map_lists(df: DataFrame, work: Callable[[Iterator[Lists]], Iterable[Lists]],
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ([c.to_pylist() for c in batch.columns] for batch in batches)
+        columns = ([c.to_pylist() for c in part.columns] for batch in batches for part in sliced(batch))
         for out in work(columns):
             arrays = [pa.array(values, type=field.type) for values, field in zip(out, arrow)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -15,7 +15,7 @@ from barcast.llm import bpe
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 RANKS = bpe.read_ranks(PATH)
 KNOWN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-ENCODER = bpe.Encoder(RANKS, P.PATTERN)
+ENCODER = bpe.Encoder(bpe.Transducer(RANKS), P.PATTERN)
 
 
 def ids(text):
