@@ -31,7 +31,9 @@ from barcast.llm.graph import Forest, components
 from barcast.session import staged
 
 BLOCK = 2_000  # sets of a group that are compared at once
-SEEN = 500_000  # classes that a task remembers, so that it writes the segments of copies once
+BLOCK_ELEMENTS = 1 << 21  # elements of the sets of a block, about
+COUNTED = 1 << 21  # postings that are counted at once
+SEEN = 100_000  # classes or pairs that a task remembers; it may forget them at any time
 _BAND = 1.25
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values of a public 64-bit mixer
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,7 +132,7 @@ def _segment_keys(elements: np.ndarray, plan: Plan, probes: int | None) -> tuple
     chosen = np.zeros(plan.segments, dtype=bool)
     if probes is not None:
         chosen[np.argsort(-sizes, kind="stable")[:probes]] = True
-    base = np.arange(plan.segments, dtype=np.uint64) * _A + np.uint64(plan.number) * _B
+    base = np.arange(plan.segments, dtype=np.uint64) * _A + np.array([plan.number], dtype=np.uint64) * _B
     keys, probing = mixed(mixed(sums) + base), chosen
     if plan.deletions:
         less = mixed(mixed(sums[segment] - values) + base[segment])
@@ -285,17 +287,17 @@ def _groups(batches, width: int) -> Iterator[list[list]]:
 
 
 def possible_links(rows: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """Forest edges (a, b) over class digests: each linked pair lies in one tree."""
-    known = classes.select("class", "digest", "n", "sketch")
+    """Forest edges (a, b) over class numbers: each linked pair lies in one tree."""
+    known = classes.select("class", "number", "n", "sketch")
     probed = rows.groupBy("key").agg(F.max("probe").alias("_any")).where("_any").select("key")
-    dealt = in_blocks(rows.join(probed, "key").join(known, "class"), "key", "place").select("key", "one", "other", "digest", "n", "probe", "sketch")
-    ordered = dealt.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "digest")
+    dealt = in_blocks(rows.join(probed, "key").join(known, "class"), "key", "place").select("key", "one", "other", "number", "n", "probe", "sketch")
+    ordered = dealt.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "number")
 
     def work(batches):
-        ruled_out: set[tuple[str, str]] = set()
+        ruled_out: set[tuple[int, int]] = set()
         forest = Forest()
         for _, _, _, names, sizes, probing, sketches in _groups(batches, 3):
-            edges: list[tuple[str, str]] = []
+            edges: list[tuple[int, int]] = []
             if len(names) == 2:
                 pair = (names[0], names[1])
                 if pair in ruled_out or forest.find(pair[0]) == forest.find(pair[1]):
@@ -312,10 +314,10 @@ def possible_links(rows: DataFrame, classes: DataFrame, settings: Settings) -> D
             if edges:
                 yield [list(x) for x in zip(*edges)]
 
-    return map_lists(ordered, work, "a string, b string")
+    return map_lists(ordered, work, "a bigint, b bigint")
 
 
-def _close_pairs(names: list[str], sizes: list[int], probing: list[bool], sketches: list[bytes], settings: Settings) -> Iterator[tuple[str, str]]:
+def _close_pairs(names: list[int], sizes: list[int], probing: list[bool], sketches: list[bytes], settings: Settings) -> Iterator[tuple[int, int]]:
     """Pairs of which one side probes and that size and sketch don't rule out."""
     n = np.array(sizes, dtype=np.int64)
     probe = np.array(probing, dtype=bool)
@@ -331,22 +333,22 @@ def _close_pairs(names: list[str], sizes: list[int], probing: list[bool], sketch
 
 
 def exact_links(trees: DataFrame, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """Forest edges (a, b) over class digests, each an exactly verified link."""
-    chosen = classes.join(trees.select(F.col("node").alias("digest"), "root"), "digest").select("digest", "root", "first.at", "first.text_hash")
+    """Forest edges (a, b) over class numbers, each an exactly verified link."""
+    chosen = classes.join(trees.select(F.col("node").alias("number"), "root"), "number").select("number", "root", "first.at", "first.text_hash")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("at"), F.xxhash64("text").alias("text_hash"), "text")
 
     def sets(batches):
-        for roots, digests, raw in batches:
-            yield [roots, digests, [word_set(t, settings.words).tobytes() for t in raw]]
-
-    found = chosen.join(texts, ["at", "text_hash"]).select("root", "digest", "text")
-    with_sets = map_lists(found, sets, "root string, digest string, elements binary")
-    with_sets = staged(with_sets.dropDuplicates(["digest"]), "sets")
-    sizes = with_sets.groupBy("root").agg(F.count("*").alias("members"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK))
-    numbered = with_sets.join(sizes, "root").withColumn("place", F.pmod(F.xxhash64("digest"), blocks) * BLOCK).drop("members")
-    dealt = in_blocks(numbered, "root", "place").select("root", "one", "other", "digest", "elements")
-    ordered = dealt.repartition("root", "one", "other").sortWithinPartitions("root", "one", "other", "digest")
+        for roots, numbers, raw in batches:
+            yield [roots, numbers, [word_set(t, settings.words).tobytes() for t in raw]]
+
+    found = chosen.join(texts, ["at", "text_hash"]).select("root", "number", "text")
+    with_sets = map_lists(found, sets, "root bigint, number bigint, elements binary")
+    with_sets = staged(with_sets.dropDuplicates(["number"]), "sets")
+    sizes = with_sets.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.length("elements") / 8).alias("total"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_ELEMENTS))
+    numbered = with_sets.join(sizes, "root").withColumn("place", F.pmod(F.xxhash64("number"), blocks) * BLOCK).drop("members", "total")
+    dealt = in_blocks(numbered, "root", "place").select("root", "one", "other", "number", "elements")
+    ordered = dealt.repartition("root", "one", "other").sortWithinPartitions("root", "one", "other", "number")
 
     def work(batches):
         for _, _, _, names, elements in _groups(batches, 3):
@@ -354,10 +356,10 @@ def exact_links(trees: DataFrame, docs: DataFrame, classes: DataFrame, settings:
             if edges:
                 yield [list(x) for x in zip(*edges)]
 
-    return map_lists(ordered, work, "a string, b string")
+    return map_lists(ordered, work, "a bigint, b bigint")
 
 
-def _verified(names: list[str], sets: list[np.ndarray], settings: Settings) -> Iterator[tuple[str, str]]:
+def _verified(names: list[int], sets: list[np.ndarray], settings: Settings) -> Iterator[tuple[int, int]]:
     """Forest of the linked pairs, by counting common elements over an inverted index of the block."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     _, terms = np.unique(np.concatenate(sets), return_inverse=True)
@@ -369,10 +371,13 @@ def _verified(names: list[str], sets: list[np.ndarray], settings: Settings) -> I
     forest = Forest()
     for i in range(len(sets)):
         mine = terms[begin[i] : begin[i + 1]]
-        low, high = starts[mine], starts[mine + 1]
-        counts = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        common = np.bincount(posting[at], minlength=len(sets))
+        common = np.zeros(len(sets), dtype=np.int64)
+        step = max(1, COUNTED // len(sets))  # an element has at most one posting a set
+        for k in range(0, len(mine), step):
+            low, high = starts[mine[k : k + step]], starts[mine[k : k + step] + 1]
+            counts = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            common += np.bincount(posting[at], minlength=len(sets))
         fine = 100 * common >= settings.percent * (sizes + sizes[i] - common)
         fine[: i + 1] = False
         for j in np.nonzero(fine)[0].tolist():
@@ -404,11 +409,12 @@ def _grouped(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
         .groupBy("class", "digest")
         .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("at", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
-    classes = staged(classes, "classes")
+    # numbers are given once, as the table is written; later steps carry them in place of digests
+    classes = staged(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
     rows = staged(shared_segments(segment_table(docs, settings)), "segments")
     trees = components(possible_links(rows, classes, settings))
-    roots = components(exact_links(trees, docs, classes, settings)).select(F.col("node").alias("digest"), "root")
-    return table, classes.join(roots, "digest", "left").select("digest", "doc_id", "first", F.coalesce("root", "digest").alias("root"))
+    roots = components(exact_links(trees, docs, classes, settings)).select(F.col("node").alias("number"), "root")
+    return table, classes.join(roots, "number", "left").select("digest", "doc_id", "first", F.coalesce("root", "number").alias("root"))
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
