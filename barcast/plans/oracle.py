@@ -387,10 +387,12 @@ SELECT asset, epoch_us(t) AS t_us, {LAGS} FROM dedup WINDOW w AS (PARTITION BY a
 uneven AS (SELECT asset, epoch_us(t) AS us, high, low, "close", volume, {LAGS} FROM dedup WINDOW w AS (PARTITION BY asset ORDER BY t)),
 cells AS (
   SELECT asset, us, f_lag1, f_lag2, f_lag3, f_lag4, unnest(['high','low','close','volume']) AS feature, unnest([high, low, "close", volume]) AS v FROM uneven)
-SELECT o.asset, o.feature, o.us AS origin_us, h.horizon, CASE WHEN abs(o.v) < 1e-3 THEN 0.0 ELSE o.v END AS pred, t.v AS truth
+SELECT o.asset, o.feature, o.us AS origin_us, h.horizon,
+       CASE WHEN o.v IS NULL OR abs(o.v) < 1e-3 THEN 0.0 ELSE o.v END AS pred, t.v AS truth
 FROM cells o CROSS JOIN {HORIZONS} h
 LEFT JOIN cells t ON t.asset = o.asset AND t.feature = o.feature AND t.us = o.us + 900000000::BIGINT * h.horizon
-WHERE o.us > {CUT}000000 AND o.f_lag1 IS NOT NULL AND o.f_lag2 IS NOT NULL AND o.f_lag3 IS NOT NULL AND o.f_lag4 IS NOT NULL""",
+WHERE o.us > {CUT}000000 AND o.f_lag1 IS NOT NULL AND o.f_lag2 IS NOT NULL AND o.f_lag3 IS NOT NULL AND o.f_lag4 IS NOT NULL
+  AND o.asset IN (SELECT asset FROM uneven WHERE us <= {CUT}000000 GROUP BY 1 HAVING count(*) >= 24)""",
         "pooled_target_gapped": f"""WITH {DEDUP},
 part AS (SELECT asset, epoch_us(t) AS us, high, low, "close", volume, {LAGS},
                 CASE WHEN epoch_us(t) <= {VAL_CUT}000000 THEN 'train' ELSE 'val' END AS split, count(*) OVER (PARTITION BY asset) AS n
