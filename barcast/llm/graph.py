@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from barcast.llm.common import map_lists
 from barcast.session import staged
 
-CONTRACT_EDGES = 500_000  # edges that a task joins at once
+CONTRACT_EDGES = 200_000  # edges that a task joins at once
 
 
 class Forest:
@@ -38,7 +39,13 @@ class Forest:
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the same components, at most one per node and block of a task."""
+    """Edges (a, b) with the same components, at most one per node and task.
+
+    ``edges`` is a stored table; its parts are put together until a task has up to ``CONTRACT_EDGES``, so
+    that trees of one component that were found apart collapse here.
+    """
+    tasks = max(1, ceil(edges.count() / CONTRACT_EDGES))
+    edges = edges.coalesce(tasks)
 
     def work(batches) -> Iterator[list[list]]:
         forest, seen = Forest(), 0
@@ -67,7 +74,8 @@ def components(edges: DataFrame) -> DataFrame:
     works by aggregation and joins, so no task needs all neighbours of a node.
     Every round is written to the shared folder.
     """
-    current = staged(contracted(edges.where("a <> b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), "edges")
+    found = staged(edges.where("a <> b").select("a", "b"), "links")
+    current = staged(contracted(found).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), "edges")
     before = None
     while True:
         both = current.unionByName(current.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
