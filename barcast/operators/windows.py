@@ -123,7 +123,8 @@ def lag_columns_of(feature: str, params: Params) -> list[Column]:
 def by_time(frame: DataFrame, params: Params, prefix: str) -> DataFrame:
     """Let ``<prefix>_<feature>`` hold the value exactly h steps after ``t``, null where no row has that time.
 
-    Needs ``next_t``, the times of the rows ahead. On gap-free bars this changes nothing.
+    Needs ``next_t``, the times of the H rows ahead. On gap-free bars this changes nothing. Rows must lie
+    a step apart or more: between denser ones a target can lie beyond the H rows and would count as missing.
     """
     places = F.array(*[F.array_position("next_t", steps_after(F.col("t"), h)) for h in params.horizons])
 

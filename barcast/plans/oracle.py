@@ -384,7 +384,7 @@ HAVING count(*) FILTER (WHERE split = 'train') >= 50 AND count(*) FILTER (WHERE
         "lags_gapped": f"""WITH {DEDUP}
 SELECT asset, epoch_us(t) AS t_us, {LAGS} FROM dedup WINDOW w AS (PARTITION BY asset ORDER BY t)""",
         "truth_gapped": f"""WITH {DEDUP},
-uneven AS (SELECT asset, epoch_us(t) AS us, high, low, "close", volume, {LAGS} FROM dedup WINDOW w AS (PARTITION BY asset ORDER BY t)),
+uneven AS (SELECT asset, epoch_us(t) AS us, high, low, "close", volume, {LAGS} FROM dedup WHERE epoch_us(t) % 900000000 = 0 WINDOW w AS (PARTITION BY asset ORDER BY t)),
 cells AS (
   SELECT asset, us, f_lag1, f_lag2, f_lag3, f_lag4, unnest(['high','low','close','volume']) AS feature, unnest([high, low, "close", volume]) AS v FROM uneven)
 SELECT o.asset, o.feature, o.us AS origin_us, h.horizon,

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barcast.config import STEP_SECONDS
 from barcast.functions.measures import (
     denormalised,
     is_nonzero,
@@ -395,8 +396,9 @@ def pooled_target_gapped(spark, sf_dir):
 
 @query
 def truth_gapped(spark, sf_dir):
-    """Forecast cells over bars with gaps: the truth is that of the target's time, or missing."""
-    cells = forecasts.baseline_test_forecasts(staged(_uneven(spark, sf_dir), "uneven"), P, "persistence")
+    """Forecast cells over bars on the grid with gaps: the truth is that of the target's time, or missing."""
+    on_grid = _uneven(spark, sf_dir).where(F.unix_micros("t") % (STEP_SECONDS * 1_000_000) == 0)
+    cells = forecasts.baseline_test_forecasts(staged(on_grid, "gapped"), P, "persistence")
     return cells.select("asset", "feature", _us("origin", "origin_us"), "horizon", "pred", F.col("true").alias("truth"))
 
 
