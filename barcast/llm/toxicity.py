@@ -4,7 +4,8 @@ Terms are the character n-grams of the words, within word borders. Those that
 tell the classes of the examples apart (log-likelihood ratio), whichever class
 they speak for, make up the vocabulary; vectors and cosines are over it. The inverted index holds the examples in blocks; each list has the
 largest weight per block, so whole blocks whose best possible cosine stays
-below the k-th best so far are skipped. What is left is computed exactly.
+below the k-th best of the most promising ones are skipped. What is left is
+computed exactly.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,7 @@ from pyspark.sql import functions as F
 from barcast.llm.common import held_out, labelled_sample, map_lists, row_map
 
 THRESHOLD = 0.3
-MAX_WORDS = 300_000  # remembered words per worker
-MAX_WORD_CHARS = 64  # longer words are not remembered
+FIRST = 16  # the blocks computed first hold so many times k examples
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class Settings:
 
 
 def grams(word: str, settings: Settings) -> list[str]:
-    framed = f"<{word}>"
+    framed = f" {word} "
     return [framed[i : i + n] for n in settings.sizes for i in range(len(framed) - n + 1)]
 
 
@@ -45,9 +46,15 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all ranges one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
-    """Examples in blocks; each block has its inverted lists, and each term its largest weight per block."""
+    """Examples in blocks: inverted lists cut at block borders into cells, each with its largest weight."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -56,10 +63,14 @@ class Index:
     labels: np.ndarray
     votes: np.ndarray  # weight of an example's vote, by class
     base: float  # share of label 1 among examples without any term, smoothed
-    # per block: terms, rows within the block and weights, sorted by term
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    # per term: blocks and largest weights
-    maxima: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    # postings, sorted by term and example
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    # cells, sorted by term and block: first posting, block and largest weight
+    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    cells: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first cell by term
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit-length TF-IDF weights of term counts (empty without any term)."""
@@ -70,41 +81,54 @@ class Index:
         return terms, weights / norm if norm else weights
 
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        size, largest = self.settings.block, [{} for _ in self.vocabulary]
-        for block, low in enumerate(range(0, len(vectors), size)):
-            part = vectors[low : low + size]
-            terms = np.concatenate([t for t, _ in part])
-            weights = np.concatenate([w for _, w in part])
-            rows = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
-            order = np.lexsort((rows, terms))
-            self.lists.append((terms[order], rows[order], weights[order]))
-            for term, weight in zip(terms.tolist(), weights.tolist()):
-                largest[term][block] = max(weight, largest[term].get(block, 0.0))
-        self.maxima = [(np.array(list(m), dtype=np.int64), np.array(list(m.values()))) for m in largest]
+        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, dtype=np.int64)])
+        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        order = np.lexsort((rows, terms))
+        terms, self.rows, self.weights = terms[order], rows[order], weights[order]
+        block = self.rows // self.settings.block
+        opens = np.ones(len(terms), dtype=bool)
+        opens[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        first = np.nonzero(opens)[0]
+        self.begins = np.append(first, len(terms))
+        self.blocks = block[first]
+        self.largest = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(terms[first], np.arange(len(self.vocabulary) + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, leave_out: int = -1) -> list[tuple[int, float]]:
-        """The k examples of largest positive cosine, exactly; equal cosines go by example number."""
+        """The k examples of largest positive cosine, exactly; equal cosines go by example number.
+
+        The blocks of largest bound are computed first; of the others only
+        those whose bound reaches the k-th best cosine found there.
+        """
         size, k = self.settings.block, self.settings.neighbours
-        bounds = np.zeros(len(self.lists))
-        query = np.zeros(len(self.vocabulary))
-        query[terms] = weights
-        for term, weight in zip(terms.tolist(), weights.tolist()):
-            blocks, largest = self.maxima[term]
-            bounds[blocks] += weight * largest
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] < best[-1][0] - 1e-9):
-                break
-            own, rows, entries = self.lists[block]
-            sums = np.bincount(rows, query[own] * entries, minlength=size)
-            if block * size <= leave_out < (block + 1) * size:
-                sums[leave_out - block * size] = 0
-            found = np.nonzero(sums > (best[-1][0] - 1e-9 if len(best) == k else 0))[0]
-            if len(found):
-                best += zip(np.round(sums[found], 12).tolist(), (found + block * size).tolist())
-                best.sort(key=lambda x: (-x[0], x[1]))
-                del best[k:]
-        return [(row, cosine) for cosine, row in best]
+        low, lengths = self.cells[terms], self.cells[terms + 1] - self.cells[terms]
+        cells, query = _spread(low, lengths), np.repeat(weights, lengths)
+        blocks = self.blocks[cells]
+        bounds = np.bincount(blocks, query * self.largest[cells], minlength=-(-len(self.ids) // size))
+
+        def cosines(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            use = chosen[blocks]
+            begins = self.begins[cells[use]]
+            counts = self.begins[cells[use] + 1] - begins
+            at = _spread(begins, counts)
+            sums = np.bincount(self.rows[at], np.repeat(query[use], counts) * self.weights[at], minlength=len(self.ids))
+            if leave_out >= 0:
+                sums[leave_out] = 0
+            found = np.nonzero(sums > 0)[0]
+            return found, np.round(sums[found], 12)
+
+        first = np.zeros(len(bounds), dtype=bool)
+        head = max(1, FIRST * k // size)
+        first[np.argpartition(-bounds, head - 1)[:head] if len(bounds) > head else slice(None)] = True
+        rows, values = cosines(first)
+        floor = np.partition(values, -k)[-k] - 1e-9 if len(values) >= k else 0.0
+        others = ~first & (bounds > 0) & (bounds >= floor)
+        if others.any():
+            more, larger = cosines(others)
+            rows, values = np.concatenate([rows, more]), np.concatenate([values, larger])
+        best = np.lexsort((rows, -values))[:k]
+        return list(zip(rows[best].tolist(), values[best].tolist()))
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         """Distance-weighted share of label 1, drawn to the base rate where the neighbours are far."""
@@ -182,26 +206,23 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 
 class Scorer:
+    """Finds the terms of a text in one pass of an automaton over its words, set apart by single spaces."""
+
     def __init__(self, index: Index) -> None:
         self.index = index
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.terms = ahocorasick.Automaton()
+        for gram, term in index.vocabulary.items():
+            self.terms.add_word(gram, term)
+        self.terms.make_automaton()
 
-    def _terms(self, word: str) -> tuple[int, ...]:
-        vocabulary = self.index.vocabulary
-        terms = tuple(vocabulary[g] for g in grams(word, self.index.settings) if g in vocabulary)
-        if len(word) <= MAX_WORD_CHARS:
-            if len(self.known) >= MAX_WORDS:
-                self.known.clear()
-            self.known[word] = terms
-        return terms
+    def counts(self, text: str | None) -> Counter:
+        # a gram has spaces at its ends only, so each match lies in one framed word
+        found = self.terms.iter(f" {' '.join(words_of(text))} ") if self.index.vocabulary else ()
+        return Counter(term for _, term in found)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """Score of a text and its evidence: (id of the example, cosine)."""
-        counts: Counter = Counter()
-        for word, times in Counter(words_of(text)).items():
-            terms = self.known.get(word)
-            for term in self._terms(word) if terms is None else terms:
-                counts[term] += times
+        counts = self.counts(text)
         near = self.index.nearest(*self.index.vector(counts)) if counts else []
         return self.index.vote(near), [(int(self.index.ids[row]), cosine) for row, cosine in near]
 
