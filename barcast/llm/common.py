@@ -18,6 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has that name in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plain_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, also those with a dot in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``SLICE_BYTES``, in order: Python values of long texts take several times their bytes."""
     if batch.nbytes <= SLICE_BYTES or batch.num_rows < 2:
@@ -42,6 +58,8 @@ def map_lists(df: DataFrame, work: Callable[[Iterator[Lists]], Iterable[Lists]],
             arrays = [pa.array(values, type=field.type) for values, field in zip(out, arrow)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
+    if any(set(".`") & set(c) for c in df.columns):  # columns go by position, and such names are no plain references
+        df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return df.mapInArrow(run, schema)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barcast.llm.common import map_lists
+from barcast.llm.common import map_lists, plain_columns, unused
 from barcast.llm.graph import Forest, components
 from barcast.session import staged
 
@@ -165,7 +165,6 @@ def segment_rows(elements: np.ndarray, settings: Settings) -> tuple[np.ndarray,
 
 
 _LAST = (1 << 63) - 1  # stands for a null id
-_AT, _HASH = "_first_at", "_first_hash"  # columns while rows are chosen
 
 
 def set_table(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -425,9 +424,10 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     without words are linked with nothing and all stay.
     """
     _, named = _grouped(docs, settings)
-    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias(_AT), F.col("first.text_hash").alias(_HASH))
+    key = unused(docs.columns, "_first_at", "_first_hash")
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias(key[0]), F.col("first.text_hash").alias(key[1]))
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.where(has_words).withColumns({_AT: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), _HASH: F.xxhash64("text")})
+    keyed = docs.where(has_words).withColumns({key[0]: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), key[1]: F.xxhash64("text")})
     # copies collapse before the exchange that the join uses too
-    kept = keyed.dropDuplicates([_AT, _HASH]).join(chosen, [_AT, _HASH], "left_semi").select(*docs.columns)
+    kept = keyed.dropDuplicates(key).join(chosen, key, "left_semi").select(*plain_columns(docs))
     return kept.unionByName(docs.where(~has_words))

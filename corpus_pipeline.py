@@ -17,28 +17,34 @@ from barcast.session import staged
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier accepts."""
+    """Rows that the quality classifier accepts, each judged by its own text; null and empty texts get the model's bias."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of three-line windows; ``n_chars`` follows the text."""
+    """Texts without later occurrences of three-line windows; ``n_chars`` follows the text.
+
+    All rows stay, null texts as they are (0 characters); rows that repeat id and text get the same result.
+    """
     length = F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)
-    return lines.deduplicated(docs).withColumn("n_chars", length).select(*docs.columns)
+    return lines.deduplicated(docs, counts=False).withColumn("n_chars", length)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """The first document of each group of near copies (five-word shingles, similarity 0.8).
+
+    Of repeated rows one stays; rows without words all stay, and null ids come last within a group.
+    """
     return jaccard.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark passages to speak of."""
+    """Rows that hold no benchmark passages to speak of, each judged by its own text; those without words stay."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text with digests of the ids and of the text decoded from them."""
+    """Token ids of each text with digests of the ids and of the text decoded from them; a null text has no ids."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
 
