@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -127,6 +128,9 @@ class Index:
         if others.any():
             more, larger = cosines(others)
             rows, values = np.concatenate([rows, more]), np.concatenate([values, larger])
+        if len(values) > k:
+            top = values >= np.partition(values, -k)[-k]
+            rows, values = rows[top], values[top]
         best = np.lexsort((rows, -values))[:k]
         return list(zip(rows[best].tolist(), values[best].tolist()))
 
@@ -218,7 +222,7 @@ class Scorer:
     def counts(self, text: str | None) -> Counter:
         # a gram has spaces at its ends only, so each match lies in one framed word
         found = self.terms.iter(f" {' '.join(words_of(text))} ") if self.index.vocabulary else ()
-        return Counter(term for _, term in found)
+        return Counter(map(itemgetter(1), found))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """Score of a text and its evidence: (id of the example, cosine)."""
