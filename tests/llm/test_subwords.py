@@ -101,3 +101,37 @@ def test_adapted_weights_fit_held_out_words(spark):
     unseen = {w for r in test.collect() for w in subwords.words_of(r.text)} - {bytes(r.word) for r in table.collect()}
     assert len(unseen) > 1000
     assert sum(subwords.word_log(w, pieces) for w in unseen) > sum(subwords.word_log(w, PIECES) for w in unseen) + len(unseen)
+
+
+def test_score_of_the_whole_query(spark):
+    """Scores by a plain loop: rounds of expectation word by word, discounts from counts of counts, sums per text."""
+    rows = [(i, " ".join(["the", "then", f"word{i % 7}", f"pair{i // 2}", f"other{i}", "again"][: 2 + i % 5])) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (90, None), (91, "unseen theorems \u65e5")], "doc_id long, text string").repartition(4)
+    train = [(i, t) for i, t in [*rows, (90, ""), (91, "unseen theorems \u65e5")] if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for _, t in train for w in t.encode().split())
+    begin = subwords.prior(subwords.piece_ranks(PATH))
+    pieces = subwords.Pieces.of(begin)
+    for _ in range(subwords.ROUNDS):
+        found = {}
+        for word in counts:
+            subwords.expected([word], pieces, found)
+        pieces = subwords.Pieces.of({k: found.get(k, 0.0) + w for k, w in begin.items()})
+    once, twice = (sum(c == n for c in counts.values()) for n in (1, 2))
+    less = once / (once + 2 * twice)
+    assert once and twice and 0 < less < 1
+    total = counts.total() + len(train)
+    mass = less * len(counts) / total
+
+    def word_score(w):
+        seen = (counts[w] - less) / total if counts[w] else 0.0
+        return log10(exp(subwords.word_log(w, pieces)) * mass + seen)
+
+    texts = dict([*rows, (90, ""), (91, "unseen theorems \u65e5")])
+    for r in subwords.scored(docs, PATH).collect():
+        want = sum(word_score(w) for w in texts[r.doc_id].encode().split()) + log10(len(train) / total)
+        assert isclose(r.score, want, rel_tol=1e-6), r
+
+
+def test_discount():
+    assert subwords.discount(0, 3) == subwords.discount(3, 0) == subwords.DISCOUNT
+    assert subwords.discount(4, 2) == 0.5
