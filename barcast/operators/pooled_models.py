@@ -58,16 +58,18 @@ class Fitted:
 def fitted(learner: GBTRegressor | GBTClassifier, train: DataFrame, val: DataFrame, rounds: int, patience: int) -> Fitted:
     """The ensemble of the best number of rounds up to ``rounds``.
 
-    Rounds do not depend on later ones. So where ``rounds`` are many, a short
-    ensemble is tried first; it is enough if its best prefix lies ``patience`` rounds before its end.
+    Rounds do not depend on later ones. So a short ensemble, a little longer than
+    ``patience``, is tried first, then longer ones; one is enough if its best prefix lies ``patience`` rounds before its end.
     """
     loss = ["squared"] if isinstance(learner, GBTRegressor) else []
-    for tried in (rounds,) if rounds <= 5 * patience else (2 * patience, rounds):
+    tried = min(rounds, patience + patience // 4)
+    while True:
         model = learner.copy({learner.maxIter: tried}).fit(train)
         losses = model.evaluateEachIteration(val, *loss)
         best, ended = best_prefix(losses, patience)
-        if ended:
+        if ended or tried == rounds:
             break
+        tried = min(rounds, 2 * tried)
     if best < len(losses):
         model = learner.copy({learner.maxIter: best}).fit(train)
     return Fitted(model, best, losses)
