@@ -58,7 +58,8 @@ class Pieces:
 
     first: dict[str, float]
     further: dict[str, float]
-    first_trie: dict  # by character; the piece and its weight under the empty string
+    slots: dict[tuple[bool, str], int]  # number of each (is first, piece)
+    first_trie: dict  # by character; the piece's number, alone in a tuple, and its weight under the empty string
     further_trie: dict
 
     @staticmethod
@@ -69,17 +70,18 @@ class Pieces:
             own = {p: c for (f, p), c in counts.items() if f == is_first}
             total = log(sum(own.values()))
             parts[is_first].update({p: log(c) - total for p, c in own.items()})
-        return Pieces(parts[1], parts[0], _trie(parts[1]), _trie(parts[0]))
+        slots = {key: slot for slot, key in enumerate(counts)}
+        return Pieces(parts[1], parts[0], slots, *(_trie({p: (slots[f, p], w) for p, w in parts[f].items()}) for f in (True, False)))
 
 
-def _trie(weights: dict[str, float]) -> dict:
+def _trie(pieces: dict[str, tuple[int, float]]) -> dict:
     root: dict = {}
-    for piece, weight in weights.items():
+    for piece, (slot, weight) in pieces.items():
         node = root
         for char in piece:
             node = node.setdefault(char, {})
         if piece:
-            node[_STOP] = (piece, weight)
+            node[_STOP] = ((slot,), weight)
     return root
 
 
@@ -109,20 +111,20 @@ def log_add(a: float, b: float) -> float:
 class Lattice:
     """The forward recursion over words given one after the other; what a word shares with the one before is kept.
 
-    In sorted words, each prefix is thus worked on once. With ``into``, the
-    expected (is first, piece) counts of all words are added to it, a position at a time as it is
+    In sorted words, each prefix is thus worked on once. With ``into``, a number
+    per piece, the expected counts of all words' pieces are added to it, a position at a time as it is
     left: the words that end behind a position share the arcs into it. The
     mark alone is always an arc and so are the bytes of any character, so each
     end is reached.
     """
 
-    def __init__(self, pieces: Pieces, into: dict[tuple[bool, str], float] | None = None) -> None:
+    def __init__(self, pieces: Pieces, into: list[float] | None = None) -> None:
         self.pieces, self.into = pieces, into
         self.word = ""
         self.reached = [0.0]  # log probability of reaching each position
         self.behind = [-inf]  # log of the summed shares of the words' probabilities behind each position
         self.open: list[list[tuple[int, dict]]] = []  # pieces begun: (begin, trie node) after each character
-        self.arcs: list[list[tuple[int, str, float]]] = []  # (begin, piece, log weight) into each position
+        self.arcs: list[list[tuple[int, tuple[int, ...], float]]] = []  # (begin, numbers of pieces, log weight) into each position
 
     def total(self, word: str) -> float:
         """Log of the summed probability of all segmentations of the marked word."""
@@ -142,7 +144,7 @@ class Lattice:
         total = self.total(word)
         before = self.behind[-1]
         self.behind[-1] = -total if before == -inf else log_add(before, -total)
-        self.into[(False, _STOP)] = self.into.get((False, _STOP), 0.0) + 1.0
+        self.into[self.pieces.slots[False, _STOP]] += 1.0
 
     def close(self) -> None:
         self._leave(0)
@@ -162,7 +164,7 @@ class Lattice:
         if at and not (arcs and arcs[-1][0] == at):  # its bytes, as one arc
             names = [f"<0x{b:02X}>" for b in char.encode("utf-8", "replace")]
             weight = sum(self.pieces.further[n] for n in names)
-            arcs.append((at, " ".join(names), weight))
+            arcs.append((at, tuple(self.pieces.slots[False, n] for n in names), weight))
             terms.append(self.reached[at] + weight)
         self.open.append(live)
         self.reached.append(log_sum(terms))
@@ -176,15 +178,14 @@ class Lattice:
         if into is not None:
             while len(self.arcs) > size:
                 rest = self.behind.pop()
-                for begin, piece, weight in self.arcs.pop():
+                for begin, slots, weight in self.arcs.pop():
                     step = weight + rest
                     if begin:
                         before = self.behind[begin]
                         self.behind[begin] = step if before == -inf else log_add(before, step)
                     share = exp(reached[begin] + step)
-                    for name in piece.split(" "):
-                        key = (begin == 0, name)
-                        into[key] = into.get(key, 0.0) + share
+                    for slot in slots:
+                        into[slot] += share
         del reached[size + 1 :], self.open[size:]
 
 
@@ -195,10 +196,14 @@ def word_log(word: bytes, pieces: Pieces, lattice: Lattice | None = None) -> flo
 
 def expected(words: Iterable[bytes], pieces: Pieces, into: dict[tuple[bool, str], float]) -> None:
     """Adds the expected pieces of words (forward-backward); quickest where the words are sorted."""
-    lattice = Lattice(pieces, into)
+    shares = [0.0] * len(pieces.slots)
+    lattice = Lattice(pieces, shares)
     for word in words:
         lattice.learn(word.decode("utf-8", "replace"))
     lattice.close()
+    for key, slot in pieces.slots.items():
+        if shares[slot]:
+            into[key] = into.get(key, 0.0) + shares[slot]
 
 
 def word_counts(docs: DataFrame, training: str = "training") -> DataFrame:
@@ -219,9 +224,9 @@ def word_counts(docs: DataFrame, training: str = "training") -> DataFrame:
 
 
 def adapted(table: DataFrame, path: str, rounds: int = ROUNDS) -> Pieces:
-    """Weights after ``rounds`` of expectation over the distinct training words, smoothed by the vocabulary's own."""
+    """Weights after ``rounds`` of expectation over the distinct training words, smoothed by the vocabulary's own; quickest where ``table`` is sorted."""
     begin = prior(piece_ranks(path))
-    words = table.where("c > 0").select("word").sortWithinPartitions("word")
+    words = table.where("c > 0").select("word")
     pieces = Pieces.of(begin)
     for _ in range(rounds):
         sent = table.sparkSession.sparkContext.broadcast(pieces)  # one number per vocabulary piece
@@ -258,7 +263,8 @@ def scored(docs: DataFrame, path: str, divisor: int = 5, remainder: int = 1) ->
         "text",
         (~held_out("doc_id", divisor, remainder)).alias("training"),
     )
-    table = staged(word_counts(keyed), "words")
+    # by ranges and in order, so that words next to each other share their prefixes in all passes
+    table = staged(word_counts(keyed).repartitionByRange("word").sortWithinPartitions("word"), "words")
     ends = keyed.where("training").count()
     sums = table.agg(
         F.sum("c").alias("n"), *[F.count_if(condition).alias(name) for name, condition in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2))]
@@ -279,7 +285,7 @@ def scored(docs: DataFrame, path: str, divisor: int = 5, remainder: int = 1) ->
                 score.append((log_sum([lattice, log((c - less) / total)]) if c else lattice) / log(10))
             yield [words, [int(c > 0) for c in counts], base, score]
 
-    by_word = staged(map_lists(table.repartition("word").sortWithinPartitions("word"), each, "word binary, known int, base double, score double"), "words")
+    by_word = staged(map_lists(table, each, "word binary, known int, base double, score double"), "words")
     frequent = table.where(F.col("c") >= FREQUENT * total).select("word")  # at most 1 / FREQUENT words
     rows = by_word.join(frequent, "word").collect()
     common = docs.sparkSession.sparkContext.broadcast({bytes(r["word"]): (r["known"], r["base"], r["score"]) for r in rows})
