@@ -12,11 +12,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -30,7 +30,7 @@ from barcast.session import shared_root
 # The learner settings that results are specified with, in terms
 # of depth-limited trees (2^5 leaves).
 LEARNING_RATE = 0.05
-_TREES = dict(featuresCol="x", maxDepth=5, maxBins=255, stepSize=LEARNING_RATE, minInstancesPerNode=20, seed=42, maxMemoryInMB=512, checkpointInterval=25)
+_TREES = dict(featuresCol="x", maxDepth=5, maxBins=255, stepSize=LEARNING_RATE, minInstancesPerNode=20, seed=42, maxMemoryInMB=512, checkpointInterval=5)
 ROWS_PER_TASK = 200_000
 MAX_PARALLEL = 32  # models fitted at a time, at most
 
@@ -55,11 +55,28 @@ class Fitted:
     losses: list[float]
 
 
+def first_rounds(model: GBTRegressionModel | GBTClassificationModel, rounds: int) -> GBTRegressionModel | GBTClassificationModel:
+    """The ensemble of the first ``rounds`` trees, which is what a fit of so many rounds gives."""
+    if rounds >= model.getNumTrees:
+        return model
+    gateway, whole = SparkSession.active().sparkContext._gateway, model._java_obj
+    package = gateway.jvm.org.apache.spark.ml
+    trees, weights = gateway.new_array(package.regression.DecisionTreeRegressionModel, rounds), gateway.new_array(gateway.jvm.double, rounds)
+    all_trees = whole.trees()
+    for i, weight in enumerate(model.treeWeights[:rounds]):
+        trees[i], weights[i] = all_trees[i], weight
+    made = package.classification.GBTClassificationModel if isinstance(model, GBTClassificationModel) else package.regression.GBTRegressionModel
+    short = made(whole.uid(), trees, weights)
+    # the rest of the settings stays as in the whole ensemble
+    return type(model)(whole.copyValues(short, package.param.ParamMap()))
+
+
 def fitted(learner: GBTRegressor | GBTClassifier, train: DataFrame, val: DataFrame, rounds: int, patience: int) -> Fitted:
     """The ensemble of the best number of rounds up to ``rounds``.
 
     Rounds do not depend on later ones. So a short ensemble, a little longer than
     ``patience``, is tried first, then longer ones; one is enough if its best prefix lies ``patience`` rounds before its end.
+    The best prefix is cut out of it, not fitted once more.
     """
     loss = ["squared"] if isinstance(learner, GBTRegressor) else []
     tried = min(rounds, patience + patience // 4)
@@ -70,9 +87,7 @@ def fitted(learner: GBTRegressor | GBTClassifier, train: DataFrame, val: DataFra
         if ended or tried == rounds:
             break
         tried = min(rounds, 2 * tried)
-    if best < len(losses):
-        model = learner.copy({learner.maxIter: best}).fit(train)
-    return Fitted(model, best, losses)
+    return Fitted(first_rounds(model, best), best, losses)
 
 
 def _with_stats(frame: DataFrame, stats: DataFrame, params: Params) -> DataFrame:
