@@ -5,7 +5,8 @@ tell the classes of the examples apart (log-likelihood ratio), whichever class
 they speak for, make up the vocabulary; vectors and cosines are over it. The inverted index holds the examples in blocks; each list has the
 largest weight per block, so whole blocks whose best possible cosine stays
 below the k-th best of the most promising ones are skipped. What is left is
-computed exactly.
+computed in single precision, the longest lists from dense tables, and what its error
+leaves open exactly.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from barcast.llm.common import held_out, labelled_sample, map_lists, row_map
 
 THRESHOLD = 0.3
 FIRST = 16  # the blocks computed first hold so many times k examples
+DENSE = 64  # terms in at least 1 / DENSE of the examples are kept as dense tables,
+DENSE_BYTES = 32 << 20  # those of the longest lists first, up to so many bytes
 
 
 @dataclass(frozen=True)
@@ -53,9 +56,68 @@ def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+@dataclass
+class Blocks:
+    """Weights by block: the largest of each (term, block), and those of the terms with the longest lists as one dense table per block."""
+
+    tops: np.ndarray  # (term, block), never below the weights
+    dense: np.ndarray  # (block, dense term, example of the block)
+    place: np.ndarray  # number of each term among the dense ones, -1 for the others
+
+    @staticmethod
+    def of(index: Index) -> Blocks:
+        size, n = index.settings.block, len(index.ids)
+        blocks, lengths = -(-n // size), np.diff(index.lists)
+        terms = np.repeat(np.arange(len(lengths)), lengths)
+        tops = np.zeros((len(lengths), blocks), dtype=np.float32)
+        np.maximum.at(tops, (terms, index.rows // size), np.nextafter(index.weights.astype(np.float32), np.float32(2)))
+        long = np.nonzero(lengths * DENSE >= n)[0]
+        long = long[np.argsort(-lengths[long], kind="stable")][: max(1, DENSE_BYTES // (4 * size * blocks))]
+        place = np.full(len(lengths), -1)
+        place[long] = np.arange(len(long))
+        dense = np.zeros((blocks, len(long), size), dtype=np.float32)
+        use = place[terms] >= 0
+        dense[index.rows[use] // size, place[terms[use]], index.rows[use] % size] = index.weights[use]
+        return Blocks(tops, dense, place)
+
+    def query(self, index: Index, terms: np.ndarray, weights: np.ndarray) -> Query:
+        place = self.place[terms]
+        long = place >= 0
+        short, rest = terms[~long], weights[~long]
+        begins, lengths = index.lists[short], index.lists[short + 1] - index.lists[short]
+        at = _spread(begins, lengths)
+        blocks, _, size = self.dense.shape
+        others = np.bincount(index.rows[at], np.repeat(rest, lengths) * index.weights[at], minlength=blocks * size).astype(np.float64)
+        return Query(self, terms, weights.astype(np.float32), place[long], weights[long].astype(np.float32), others.reshape(blocks, size))
+
+
+@dataclass
+class Query:
+    blocks: Blocks
+    terms: np.ndarray
+    weights: np.ndarray
+    places: np.ndarray  # of its dense terms
+    heavy: np.ndarray  # their weights
+    others: np.ndarray  # (block, example): sums over the terms that are not dense
+
+    def bounds(self) -> np.ndarray:
+        """Of each block, what no cosine exceeds."""
+        return (self.weights @ self.blocks.tops[self.terms]).astype(np.float64) * (1 + (len(self.terms) + 4) * 2.0**-23)
+
+    def sums(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of some blocks and their cosines in single precision."""
+        size, out = self.others.shape[1], self.others[chosen]
+        if len(self.places):
+            table = np.empty((len(self.places), size), dtype=np.float32)
+            for at, block in enumerate(chosen.tolist()):
+                self.blocks.dense[block].take(self.places, 0, table, "clip")
+                out[at] += self.heavy @ table
+        return (chosen[:, None] * size + np.arange(size)).ravel(), out.ravel()
+
+
 @dataclass
 class Index:
-    """Examples in blocks: inverted lists cut at block borders into cells, each with its largest weight."""
+    """Examples in blocks: inverted lists, with the largest weight of each list in each block."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -64,14 +126,15 @@ class Index:
     labels: np.ndarray
     votes: np.ndarray  # weight of an example's vote, by class
     base: float  # share of label 1 among examples without any term, smoothed
-    # postings, sorted by term and example
+    # postings, sorted by term and example, and where each term's begin
     rows: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    # cells, sorted by term and block: first posting, block and largest weight
-    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
-    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    cells: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first cell by term
+    lists: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    # the same by example and term
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    examples: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    blocked: Blocks | None = None  # made where it is used, so it is never sent
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit-length TF-IDF weights of term counts (empty without any term)."""
@@ -82,58 +145,61 @@ class Index:
         return terms, weights / norm if norm else weights
 
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, dtype=np.int64)])
-        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        order = np.lexsort((rows, terms))
-        terms, self.rows, self.weights = terms[order], rows[order], weights[order]
-        block = self.rows // self.settings.block
-        opens = np.ones(len(terms), dtype=bool)
-        opens[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        first = np.nonzero(opens)[0]
-        self.begins = np.append(first, len(terms))
-        self.blocks = block[first]
-        self.largest = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(terms[first], np.arange(len(self.vocabulary) + 1))
+        self.terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, dtype=np.int64)])
+        self.values = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        sizes = [len(t) for t, _ in vectors]
+        self.examples = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        rows = np.repeat(np.arange(len(vectors)), sizes)
+        order = np.lexsort((rows, self.terms))
+        self.rows, self.weights = rows[order], self.values[order]
+        self.lists = np.searchsorted(self.terms[order], np.arange(len(self.vocabulary) + 1))
+        self.blocked = None
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, leave_out: int = -1) -> list[tuple[int, float]]:
         """The k examples of largest positive cosine, exactly; equal cosines go by example number.
 
         The blocks of largest bound are computed first; of the others only
-        those whose bound reaches the k-th best cosine found there.
+        those whose bound reaches the k-th best cosine found there. This is in
+        single precision, so all examples that its error could hide are computed once more in double.
         """
+        if not len(self.terms):
+            return []
+        if self.blocked is None:
+            self.blocked = Blocks.of(self)
         size, k = self.settings.block, self.settings.neighbours
-        low, lengths = self.cells[terms], self.cells[terms + 1] - self.cells[terms]
-        cells, query = _spread(low, lengths), np.repeat(weights, lengths)
-        blocks = self.blocks[cells]
-        bounds = np.bincount(blocks, query * self.largest[cells], minlength=-(-len(self.ids) // size))
+        slack = (len(terms) + 4) * 2.0**-23  # twice the error of a sum of so many products, as the vectors have length one
+        near = self.blocked.query(self, terms, weights)
+        bounds = near.bounds()
 
         def cosines(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            use = chosen[blocks]
-            begins = self.begins[cells[use]]
-            counts = self.begins[cells[use] + 1] - begins
-            at = _spread(begins, counts)
-            sums = np.bincount(self.rows[at], np.repeat(query[use], counts) * self.weights[at], minlength=len(self.ids))
-            if leave_out >= 0:
-                sums[leave_out] = 0
-            found = np.nonzero(sums > 0)[0]
-            return found, np.round(sums[found], 12)
+            rows, sums = near.sums(chosen)
+            found = (sums > 0) & (rows != leave_out)
+            return rows[found], sums[found]
 
         first = np.zeros(len(bounds), dtype=bool)
         head = max(1, FIRST * k // size)
         first[np.argpartition(-bounds, head - 1)[:head] if len(bounds) > head else slice(None)] = True
-        rows, values = cosines(first)
-        floor = np.partition(values, -k)[-k] - 1e-9 if len(values) >= k else 0.0
-        others = ~first & (bounds > 0) & (bounds >= floor)
-        if others.any():
+        rows, sums = cosines(np.nonzero(first)[0])
+        floor = np.partition(sums, -k)[-k] - 2 * slack - 1e-9 if len(sums) >= k else 0.0
+        others = np.nonzero(~first & (bounds > 0) & (bounds >= floor))[0]
+        if len(others):
             more, larger = cosines(others)
-            rows, values = np.concatenate([rows, more]), np.concatenate([values, larger])
-        if len(values) > k:
-            top = values >= np.partition(values, -k)[-k]
-            rows, values = rows[top], values[top]
+            rows, sums = np.concatenate([rows, more]), np.concatenate([sums, larger])
+        if len(sums) > k:
+            rows = rows[sums >= np.partition(sums, -k)[-k] - 2 * slack - 1e-9]
+        rows = np.sort(rows)
+        values = self.exact(terms, weights, rows)
         best = np.lexsort((rows, -values))[:k]
         return list(zip(rows[best].tolist(), values[best].tolist()))
 
+    def exact(self, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Cosines with some examples, rounded to 12 digits."""
+        query = np.zeros(len(self.vocabulary))
+        query[terms] = weights
+        begins, lengths = self.examples[rows], self.examples[rows + 1] - self.examples[rows]
+        at = _spread(begins, lengths)
+        return np.round(np.bincount(np.repeat(np.arange(len(rows)), lengths), query[self.terms[at]] * self.values[at], minlength=len(rows)), 12)
+
     def vote(self, near: list[tuple[int, float]]) -> float:
         """Distance-weighted share of label 1, drawn to the base rate where the neighbours are far."""
         top, bottom = self.settings.prior * self.base, self.settings.prior
