@@ -292,43 +292,42 @@ def scored(docs: DataFrame, path: str, divisor: int = 5, remainder: int = 1) ->
     end_base = log10((ends + 0.5) / below)
     end_score = log10(ends / total) if ends else end_base
 
-    def local(batches):
+    def parts(batches):
+        """One row per rare word of a text, and one for all the rest of it; its key is no word, as words hold no space."""
+        known_words = common.value
         for ats, hashes, texts in batches:
-            out = []
-            for text in texts:
+            keys, words, numbers, here = [], [], [], []
+            for row, text in enumerate(texts):
                 counts = Counter(words_of(text))
-                found = [(n, common.value[w]) for w, n in counts.items() if w in common.value]
-                out.append(
-                    (
-                        counts.total() + 1,
-                        int(ends > 0) + sum(n * k for n, (k, _, _) in found),
-                        end_base + sum(n * b for n, (_, b, _) in found),
-                        end_score + sum(n * s for n, (_, _, s) in found),
-                    )
-                )
-            yield [ats, hashes, [1] * len(ats), *([list(c) for c in zip(*out)] or [[], [], [], []])]
-
-    def rare(batches):
-        for ats, hashes, texts in batches:
-            out = [(a, h, w, n) for a, h, t in zip(ats, hashes, texts) for w, n in Counter(words_of(t)).items() if w not in common.value]
-            for low in range(0, len(out), 200_000):
-                yield [list(c) for c in zip(*out[low : low + 200_000])]
-
-    source = keyed.select("at", "text_hash", "text")
-    parts = "rows bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    here = map_lists(source, local, f"at bigint, text_hash bigint, {parts}")
-    others = map_lists(source, rare, "at bigint, text_hash bigint, word binary, n bigint").join(by_word, "word")
-    others = others.select(
-        "at",
-        "text_hash",
-        F.lit(0).cast("bigint").alias("rows"),
-        F.lit(0).cast("bigint").alias("n_tokens"),
-        (F.col("n") * F.col("known")).alias("n_known"),
-        (F.col("n") * F.col("base")).alias("base_score"),
-        (F.col("n") * F.col("score")).alias("score"),
-    )
+                known, base, score, rare = int(ends > 0), end_base, end_score, len(words)
+                for word, n in counts.items():
+                    found = known_words.get(word)
+                    if found is None:
+                        words.append(word)
+                        numbers.append(n)
+                    else:
+                        known += n * found[0]
+                        base += n * found[1]
+                        score += n * found[2]
+                keys += [row] * (len(words) - rare)
+                here.append((counts.total() + 1, known, base, score))
+                if len(words) >= 200_000 or row == len(texts) - 1:
+                    done = range(row + 1 - len(here), row + 1)
+                    yield [[ats[r] for r in done], [hashes[r] for r in done], [b" %d %d" % (ats[r], hashes[r]) for r in done], [None] * len(here), [dict(zip(names[1:], h)) for h in here]]
+                    yield [[ats[r] for r in keys], [hashes[r] for r in keys], words, numbers, [None] * len(words)]
+                    keys, words, numbers, here = [], [], [], []
+
     names = ["rows", "n_tokens", "n_known", "base_score", "score"]
-    whole = here.unionByName(others).groupBy("at", "text_hash").agg(*[F.sum(c).alias(c) for c in names])
+    here = "here struct<n_tokens: bigint, n_known: bigint, base_score: double, score: double>"
+    dealt = map_lists(keyed.select("at", "text_hash", "text"), parts, f"at bigint, text_hash bigint, word binary, n bigint, {here}").join(by_word.withColumnRenamed("score", "word_score"), "word", "left")
+    rest, no = F.col("here").isNotNull(), F.lit(0).cast("bigint")
+    whole = dealt.groupBy("at", "text_hash").agg(
+        F.sum(rest.cast("bigint")).alias("rows"),
+        F.sum(F.when(rest, F.col("here.n_tokens")).otherwise(no)).alias("n_tokens"),
+        F.sum(F.when(rest, F.col("here.n_known")).otherwise(F.col("n") * F.col("known"))).alias("n_known"),
+        F.sum(F.when(rest, F.col("here.base_score")).otherwise(F.col("n") * F.col("base"))).alias("base_score"),
+        F.sum(F.when(rest, F.col("here.score")).otherwise(F.col("n") * F.col("word_score"))).alias("score"),
+    )
     # rows that repeat both id and text were summed together
     doc_id = F.when(F.col("at") < _LAST, F.col("at"))
     one = [(F.col(c) / F.col("rows")) for c in names[1:]]
